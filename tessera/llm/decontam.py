@@ -156,8 +156,8 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int
         yield block
 
 
-def scan(docs: DataFrame, items: list[tuple[str, str]], window: int, all_rows: bool) -> DataFrame:
-    """docs (key, text) -> (key, n_words, starts, ends, items) against one block of items."""
+def counted(docs: DataFrame, items: list[tuple[str, str]], window: int) -> Index:
+    """The index of one block of items, its prefixes chosen by counts over all documents (text)."""
     index = Index(items, window)
     index.tables()
 
@@ -170,8 +170,14 @@ def scan(docs: DataFrame, items: list[tuple[str, str]], window: int, all_rows: b
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["shingle", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     index.prefix({r.shingle: r.n for r in counts.toLocalIterator()})  # at most the block's own shingles
+    return index
+
+
+def scan(docs: DataFrame, items: list[tuple[str, str]], window: int, all_rows: bool) -> DataFrame:
+    """docs (key, text) -> (key, n_words, starts, ends, items) against one block of items."""
+    index = counted(docs.select("text"), items, window)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index
@@ -254,13 +260,31 @@ def contamination(
     )
 
 
+def clean_rows(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = 10,
+    text_col: str = "text",
+    item_id_col: str = "item_id",
+    item_text_col: str = "text",
+    block_words: int = 2_000_000,
+) -> DataFrame:
+    """The rows that hold no benchmark window, all columns kept; nothing is shuffled."""
+    for items in blocks_of(benchmark, item_id_col, item_text_col, block_words):
+        index = counted(docs.select(F.col(text_col).alias("text")), items, window)
+
+        def keep(batches: Iterator[pa.RecordBatch], own: Index = index) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column(b.schema.get_field_index(text_col))
+                yield b.filter(pa.array([not own.hits(own.ids_of(t.as_py()))[0] for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold no benchmark window, with the columns they came with."""
-    columns = docs.columns
-    found = contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    bad = found.where("n_hit > 0").select(F.col("id").alias("__id"))
-    ids = bad.distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*columns)
+    return clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
