@@ -2,8 +2,8 @@
 
 A document has a grade: 0 for toxic, 1 for low quality, 2 for good.  The model is a proportional-odds one,
 P(grade >= k) = sigmoid(score - threshold[k]) with ordered thresholds and one shared weight vector over hashed text:
-the distinct words of the whole text and the shapes of its tokens (letter case, digits, trailing marks), and bucketed
-shares of shapes.  The expected grade is the sum of the tail probabilities; a document is kept if the tail
+the distinct words of the whole text and the shapes of its tokens (letter case, digits, trailing marks), bucketed
+shares of shapes and of distinct words.  The expected grade is the sum of the tail probabilities; a document is kept if the tail
 probability of the top grade reaches ``keep_at``.
 
 Training reads a sample of labelled rows bounded by ``sample_rows`` (chosen by hash of the identifier) and runs on the driver
@@ -38,7 +38,8 @@ def features(text: str | None) -> np.ndarray:
     if not text:
         return np.array([crc32(b"empty") & ((1 << BITS) - 1)], dtype=np.int64)
     raw = utf8(text)
-    words = set(raw.translate(ALNUM_WORDS).split())
+    in_order = raw.translate(ALNUM_WORDS).split()
+    words = set(in_order)
     tokens = raw.translate(_SHAPE).split()
     shapes: dict[bytes, int] = {}
     for t in tokens:
@@ -46,6 +47,8 @@ def features(text: str | None) -> np.ndarray:
         shapes[s] = shapes.get(s, 0) + 1
     out = [crc32(w) for w in words]
     n = max(1, len(tokens))
+    varied = int(8 * len(words) / max(1, len(in_order)) + 0.999)
+    out += [crc32(b"\x02" + bytes([k])) for k in range(varied)]
     for s, c in shapes.items():
         key = b"\x01" + s
         out.append(crc32(key))
@@ -65,14 +68,14 @@ def _shape(token: bytes) -> bytes:
 
 
 class Ordinal:
-    """Proportional-odds model; weights beyond features seen in at least min_rows samples stay 0."""
+    """Proportional-odds model; weights of features that pass no chi-squared screen stay 0."""
 
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights.astype(np.float32), thresholds
 
     @classmethod
     def fit(
-        cls, rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, l2: float = 2e-4, rate: float = 0.05, min_rows: int = 5
+        cls, rows: list[np.ndarray], grades: np.ndarray, steps: int = 300, l2: float = 1e-5, rate: float = 0.05, min_chi2: float = 30.0
     ) -> Ordinal:
         size = 1 << BITS
         n = len(rows)
@@ -85,7 +88,13 @@ class Ordinal:
         cols = np.concatenate(rows)
         at = np.repeat(np.arange(n), [len(r) for r in rows])
         df = np.bincount(cols, minlength=size)
-        ok = (df >= min(min_rows, max(1, n // 10))) & (df < n)
+        # Chi-squared screen: a feature stays if its share differs between grades beyond chance.
+        chi = np.zeros(size)
+        for g in range(GRADES):
+            expect = df * (np.mean(grades == g))
+            seen = np.bincount(cols, weights=(grades[at] == g), minlength=size)
+            chi += np.where(expect > 0, (seen - expect) ** 2 / np.maximum(expect, 1.0), 0.0)
+        ok = (chi * n / np.maximum(n - df, 1) >= min_chi2) & (df < n)
         use = ok[cols]
         cols, at = cols[use], at[use]
         m_w, v_w, m_c, v_c = np.zeros(size), np.zeros(size), np.zeros(2), np.zeros(2)
