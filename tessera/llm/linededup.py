@@ -134,6 +134,8 @@ def deletions(
     lines = staged(line_table(docs, id_col, text_col), "lines")
     keys = ["key", "check"]
     first = lines.groupBy(*keys).agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Staged by itself, so that the join has an exchange of its own on both sides and a hot line can be split.
+    first = staged(first, "line_holders")
     common = staged(lines.join(first, keys), "common_lines")
     own = F.struct("id", "mark")
     held = (
