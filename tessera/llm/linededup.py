@@ -143,6 +143,7 @@ def deletions(
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_set("at")).alias("held"))
     )
+    held = staged(held, "held_lines")
     pairs = (
         common.where(own != F.col("first"))
         .join(held, keys)
