@@ -180,7 +180,8 @@ def q_stage1_scores(spark, d):
 def q_competition(spark, d):
     out = decode.competition(scored(spark, d))
     names = ["gap_s1", "sum_s1", "gap_o", "max_o_other", "sum_o"]
-    return out.select("s1_id", "oth_id", "p1", "rk_s1", "rk_o", *[_r6(c) for c in names])
+    ranks = [F.col(c).cast("long").alias(c) for c in ("rk_s1", "rk_o")]
+    return out.select("s1_id", "oth_id", "p1", *ranks, *[_r6(c) for c in names])
 
 
 def q_best_per_record(spark, d):
