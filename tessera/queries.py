@@ -295,8 +295,6 @@ def linkage_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.predict(s1, oth, model)["matching"]
 
 
-QUERIES["linkage_model"] = linkage_model
-
 # ---- SQL twins -------------------------------------------------------------------------------------------------
 
 
