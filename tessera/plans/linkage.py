@@ -12,6 +12,7 @@ from tessera.functions.splits import is_early_stop, is_validation, learning_curv
 from tessera.operators import blocking, decode, features, learn, metrics, models
 from tessera.operators.normalise import normalise
 from tessera.sources import files
+from tessera.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -49,6 +50,8 @@ def build_candidates(
         # One row per country: far below any broadcast limit, and AQE decides by its real size.
         stop = learn.stop_lists(learn.generic_words(s1, cfg.addr_stop_frac))
         n1, n2 = n1.join(stop, "country", "left"), n2.join(stop, "country", "left")
+    # Keys, weights, densities and features all read the records: written once, not normalised again for each.
+    n1, n2 = staged(n1, "records_s1"), staged(n2, "records_other")
     idf = density = None
     if cfg.feat_v3:
         base = n1 if density_source is None else normalise(density_source, cfg.keys_v2, suffixes)
@@ -59,9 +62,10 @@ def build_candidates(
     pairs = blocking.candidates(k1, k2, cfg.max_block, cfg.max_s1_block, cfg.topk)
     if cfg.keys_v3:
         x1, x2 = blocking.keys(n1, extra=True), blocking.keys(n2, extra=True)
+        pairs = staged(pairs, "base_pairs")
         more = blocking.extra_candidates(x1, x2, pairs, cfg.max_block, cfg.max_s1_block, cfg.keys_v3_topk)
         pairs = pairs.unionByName(more)
-    return Built(n1, n2, pairs, idf, density)
+    return Built(n1, n2, staged(pairs, "pairs"), idf, density)
 
 
 def feature_rows(built: Built, cfg: Config) -> DataFrame:
@@ -100,17 +104,17 @@ def train(
     rows = rows.join(true.withColumn("label", F.lit(1)), ["s1_id", "oth_id"], "left").fillna(0, ["label"])
     rows = rows.join(labelled.withColumn("known", F.lit(True)), "s1_id", "left").fillna(False, ["known"])
     rows = rows.withColumns({"val": is_validation(F.col("s1_id")), "es": is_early_stop(F.col("s1_id"))})
-    rows = rows.persist()
+    rows = staged(rows, "training_rows")
     fit = rows.where("known and not val")
     if fraction < 1:
         fit = fit.where(learning_curve(F.col("s1_id"), fraction))
     stage1 = models.fit_stage1(fit, names, trees=trees[0])
     own = models.out_of_fold(fit, names, trees=trees[0])
     rest = models.scored(stage1, rows.join(fit.select("s1_id").distinct(), "s1_id", "left_anti"), "p1")
-    both = second_stage_rows(own.unionByName(rest), built, cfg).persist()
+    both = staged(second_stage_rows(own.unionByName(rest), built, cfg), "second_stage_rows")
     second = models.STAGE2 + (models.DENSITY if cfg.feat_v3 else [])
     stage2 = models.fit_stage2(both.where("known and not val"), second, trees=trees[1])
-    best = decode.best_per_record(models.scored(stage2, both, "p"), "p").persist()
+    best = staged(decode.best_per_record(models.scored(stage2, both, "p"), "p"), "assigned")
     sizes = metrics.truth_sizes(labelled, true)
     es = sizes.where(is_validation(F.col("s1_id")) & is_early_stop(F.col("s1_id")))
     thrs, margins = [0.5 + 0.0125 * i for i in range(40)], [0.02 * i for i in range(23)]
@@ -132,7 +136,8 @@ def train(
 def score(s1: DataFrame, oth: DataFrame, model: Trained) -> tuple[Built, DataFrame]:
     built = build_candidates(s1, oth, model.cfg)
     rows = models.scored(model.stage1, feature_rows(built, model.cfg), "p1")
-    return built, models.scored(model.stage2, second_stage_rows(rows, built, model.cfg), "p")
+    rows = models.scored(model.stage2, second_stage_rows(rows, built, model.cfg), "p")
+    return built, staged(rows, "scores")
 
 
 def predict(

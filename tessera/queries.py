@@ -275,6 +275,16 @@ def q_violations(spark, d):
     return metrics.violations(required, broken, cand)
 
 
+def q_linkage_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train on the records' own truth and predict with the trained two-stage model."""
+    s1, oth = sides(spark, sf_dir)
+    t, pairs = truth(spark, sf_dir)
+    lists = pairs.groupBy("s1_id").agg(F.array_join(F.collect_list("oth_id"), ",").alias("matched_entity_ids"))
+    labelled = t.join(lists, "s1_id", "left").fillna("").withColumnRenamed("s1_id", "source1_entity_id")
+    model = linkage.train(s1, oth, labelled, linkage.Config(addr_stop_frac=STOP), trees=(6, 5))
+    return linkage.predict(s1, oth, model)["matching"]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")
 }
@@ -285,16 +295,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_list_rows(spark, sf_dir)
 
 
-def linkage_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train on the records' own truth and predict with the trained two-stage model."""
-    s1, oth = sides(spark, sf_dir)
-    t, pairs = truth(spark, sf_dir)
-    lists = pairs.groupBy("s1_id").agg(F.array_join(F.collect_list("oth_id"), ",").alias("matched_entity_ids"))
-    labelled = t.join(lists, "s1_id", "left").fillna("").withColumnRenamed("s1_id", "source1_entity_id")
-    model = linkage.train(s1, oth, labelled, linkage.Config(addr_stop_frac=STOP), trees=(6, 5))
-    return linkage.predict(s1, oth, model)["matching"]
-
-
 # ---- SQL twins -------------------------------------------------------------------------------------------------
 
 

@@ -271,3 +271,31 @@ def test_queries_against_sql(spark):
         want = c.execute(queries.SQL[name]).df()[list(got.columns)]
         key = lambda df: sorted(tuple(map(str, r)) for r in df.round(6).itertuples(index=False))
         assert key(got) == key(want) and len(got)
+
+
+def test_train_save_load_predict(spark, tmp_path):
+    words = ["amber", "birch", "cobalt", "dahlia", "ember", "fjord", "garnet", "harbor", "indigo", "juniper"]
+    rows, truth = [], []
+    for i in range(60):
+        name = f"{words[i % 10]} {words[(i // 10 + 3 * i) % 10]} {words[(7 * i + 1) % 10]}works"
+        address = f"{11 + i} {words[(i + 4) % 10]} street {words[(i + 7) % 10]}ville"
+        rows.append((f"S1-{i}", name, address, "US"))
+        if i % 4:
+            rows.append((f"S2-{i}", name + " ltd", address.replace("street", "st"), "US"))
+        truth.append((f"S1-{i}", f"S2-{i}" if i % 4 else ""))
+    rows.append(("S1-lonely", "kelp lagoon", "", "Nowhere"))
+    r = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string")
+    t = spark.createDataFrame(truth, "source1_entity_id string, matched_entity_ids string")
+    r = r.withColumn("source", F.substring("entity_id", 1, 2))
+    s1, oth = r.where("source = 'S1'"), r.where("source <> 'S1'")
+    model = linkage.train(s1, oth, t, linkage.Config(addr_stop_frac=0.1), trees=(3, 3))
+    assert 0 <= model.thr <= 1 and model.report["es_threshold"] > 0.5
+    linkage.save(model, str(tmp_path / "model"))
+    again = linkage.load(spark, str(tmp_path / "model"))
+    assert (again.cfg, again.thr, again.margin, again.decoder) == (model.cfg, model.thr, model.margin, model.decoder)
+    out = linkage.predict(s1, oth, again)
+    got = {x.source1_entity_id: x.matched_entity_ids for x in out["matching"].collect()}
+    assert len(got) == 61 and got["S1-lonely"] == ""
+    assert sum(got[a] == b for a, b in truth) >= 54
+    cand = {x.source1_entity_id: x.candidate_entity_ids for x in out["candidates"].collect()}
+    assert all(set(filter(None, got[k].split(","))) <= set(cand[k].split(",")) for k in got)
