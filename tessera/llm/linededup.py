@@ -19,14 +19,16 @@ empty table gives an empty table; extra columns are kept by ``cleaned`` and not
 
 from __future__ import annotations
 
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import staged, table
+from .base import staged, table, utf8
 
 LAST = (1 << 63) - 1
 
@@ -89,9 +91,9 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 def doomed(rows: list[dict], rare: int, min_words: int, long_words: int) -> tuple[list[int], int]:
     """Line numbers to delete and how many blocks they form, from one pair's common lines.
 
-    rows: n (occurrences), words, at (line number in the later document), held (line numbers in the holder), key.
+    rows: one per line: n (occurrences), words, own (line numbers in the later document), held (in the holder), key.
     """
-    later = sorted((r["at"], r["key"]) for r in rows)
+    later = sorted({(p, r["key"]) for r in rows for p in r["own"]})
     held = sorted({(p, r["key"]) for r in rows for p in r["held"]})
     words = {r["key"]: r["words"] for r in rows}
     linked = any(r["n"] <= rare for r in rows)
@@ -111,15 +113,37 @@ def doomed(rows: list[dict], rare: int, min_words: int, long_words: int) -> tupl
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, at, key, check, words), one row per non-blank line; ``at`` counts non-blank lines, from 0."""
+    """(id, mark, key, check, words, own), one row per document and distinct non-blank line.
+
+    ``own`` are the line's places among the non-blank lines, from 0, so a line that a document repeats stays one row.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
-    lines = F.filter(F.transform(F.split("t", "\n", -1), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    rows = rows.select("id", "mark", F.posexplode(lines).alias("at", "line"))
-    return rows.select(
-        "id", "mark", "at", F.xxhash64("line").alias("key"), F.crc32("line").alias("check"),
-        (F.size(F.split("line", r"\s+"))).alias("words"),
-    )
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=names)
+
+        for b in batches:
+            for i, mark, text in zip(*(b.column(c) for c in range(3)), strict=True):
+                places: dict[bytes, list[int]] = {}
+                found = (x for x in (y.strip(b" ") for y in utf8(text.as_py()).split(b"\n")) if x)
+                for at, line in enumerate(found):
+                    places.setdefault(line, []).append(at)
+                i, mark = i.as_py(), mark.as_py()
+                for x, own in places.items():
+                    out.append((i, mark, xxhash.xxh3_64_intdigest(x) - (1 << 63), zlib.crc32(x), len(x.split()), own))
+                if len(out) >= 20_000:
+                    yield batch()
+                    out.clear()
+        if out:
+            yield batch()
+
+    names = ["id", "mark", "key", "check", "words", "own"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+    return rows.mapInArrow(lines, "id long, mark long, key long, check long, words int, own array<int>")
 
 
 def deletions(
@@ -133,22 +157,22 @@ def deletions(
     """(id, mark, gone, n_blocks, n_partners) for the documents that lose lines; ``gone`` counts non-blank lines."""
     lines = staged(line_table(docs, id_col, text_col), "lines")
     keys = ["key", "check"]
-    first = lines.groupBy(*keys).agg(F.min(F.struct("id", "mark")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = lines.groupBy(*keys).agg(
+        F.min(F.struct("id", "mark")).alias("first"), F.sum(F.size("own")).alias("n"), F.count("*").alias("n_docs")
+    )
+    first = first.where("n_docs > 1").drop("n_docs")
     # Staged by itself, so that the join has an exchange of its own on both sides and a hot line can be split.
     first = staged(first, "line_holders")
     common = staged(lines.join(first, keys), "common_lines")
     own = F.struct("id", "mark")
-    held = (
-        common.where(own == F.col("first"))
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set("at")).alias("held"))
-    )
+    # Rows that repeat the holder have equal places.
+    held = common.where(own == F.col("first")).groupBy(*keys).agg(F.max("own").alias("held"))
     held = staged(held, "held_lines")
     pairs = (
         common.where(own != F.col("first"))
         .join(held, keys)
         .groupBy("id", "mark", "first")
-        .agg(F.collect_set(F.struct("at", "key", "n", "words", "held")).alias("rows"))
+        .agg(F.collect_set(F.struct("own", "key", "n", "words", "held")).alias("rows"))
         .select("id", "mark", "rows")
     )
 

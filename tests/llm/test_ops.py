@@ -477,3 +477,13 @@ def test_line_dedup(spark):
         elif i in left:
             assert left[i].text == linededup.remaining(t, got[i]) and left[i].n_chars == len(left[i].text)
     assert linededup.deletions(df.limit(0)).count() == 0
+
+
+def test_line_dedup_repeated_lines(spark):
+    """A line that two documents repeat many times stays one row a document, whatever its count."""
+    n = 20_000
+    texts = ["one line that is found again\n" * n + "its own end", "one line that is found again\n" * (n // 2) + "another end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert linededup.line_table(df, "doc_id", "text").count() == 4
+    r = linededup.deletions(df, rare=3 * n).collect()
+    assert [(x.id, x.gone, x.n_blocks) for x in r] == [(1, list(range(n // 2)), 1)]
