@@ -21,11 +21,11 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import staged, table, utf8
@@ -201,21 +201,26 @@ def dropped_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text
     found = found.withColumnsRenamed({"id": "__gid", "mark": "__gmark"})
     joined = keyed.join(found, (F.col("__id") == F.col("__gid")) & (F.col("__mark") == F.col("__gmark")), "left")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text_col))
-            marks = b.column(b.schema.get_field_index("__gone"))
-            out = [
-                t.as_py() if not g.is_valid else remaining(t.as_py(), set(g["gone"].as_py()))
-                for t, g in zip(texts, marks, strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "__text"]
-            )
+    gone = F.col("__gone.gone")
+    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), gone))
+    return joined.withColumn("__text", kept)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once a row however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without its non-blank lines of the numbers ``gone``; linear in its lines, JVM-side."""
+
+    def cut(lines: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(lines) - 1)
+        full = F.filter(every, lambda i: F.length(F.trim(lines[i])) > 0)
+        left = bound(full, lambda places: F.array_except(every, F.transform(gone, lambda g: places[g])))
+        return F.array_join(F.transform(left, lambda i: lines[i]), "\n")
 
-    schema = joined.select("*", F.lit("").alias("__text")).schema
-    schema["__text"].nullable = True
-    return joined.mapInArrow(cut, schema)
+    return bound(F.split(text, "\n", -1), cut)
 
 
 def remaining(text: str, gone: set[int]) -> str:
