@@ -9,11 +9,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: bytes.translate table: A-Z to lower case, all other ASCII but letters and digits to a space.
@@ -65,6 +69,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` in batches of few rows.
+
+    Spark bounds an Arrow batch by rows alone, 10,000 by default, and a task holds a batch several times over (JVM
+    vectors, the stream, Python objects, the output), which for long texts outgrows an executor.  The session
+    keeps the smaller bound, unless it has a bound of its own.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS, "10000") == "10000":
+        conf.set(BATCH_ROWS, "500")
+    return df.mapInArrow(run, schema)
+
+
 def spread(n_rows: int, per_bucket: int = 100_000, least: int = 64) -> int:
     """Number of hash buckets that keeps a bucket near per_bucket rows."""
     return max(least, -(-n_rows // per_bucket))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import alnum_words, staged, table
+from .base import alnum_words, mapped, staged, table
 
 SHINGLE = 5
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -170,7 +170,7 @@ def counted(docs: DataFrame, items: list[tuple[str, str]], window: int) -> Index
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["shingle", "n"])
 
-    counts = docs.mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    counts = mapped(docs, count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     index.prefix({r.shingle: r.n for r in counts.toLocalIterator()})  # at most the block's own shingles
     return index
 
@@ -200,8 +200,8 @@ def scan(docs: DataFrame, items: list[tuple[str, str]], window: int, all_rows: b
                 names=["key", "n_words", "starts", "ends", "items"],
             )
 
-    return docs.select("key", "text").mapInArrow(
-        find, "key long, n_words long, starts array<long>, ends array<long>, items array<string>"
+    return mapped(
+        docs.select("key", "text"), find, "key long, n_words long, starts array<long>, ends array<long>, items array<string>"
     )
 
 
@@ -278,7 +278,7 @@ def clean_rows(
                 texts = b.column(b.schema.get_field_index(text_col))
                 yield b.filter(pa.array([not own.hits(own.ids_of(t.as_py()))[0] for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = mapped(docs, keep, docs.schema)
     return docs
 
 

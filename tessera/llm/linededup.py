@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import staged, table, utf8
+from .base import mapped, staged, table, utf8
 
 LAST = (1 << 63) - 1
 
@@ -143,7 +143,7 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     names = ["id", "mark", "key", "check", "words", "own"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
-    return rows.mapInArrow(lines, "id long, mark long, key long, check long, words int, own array<int>")
+    return mapped(rows, lines, "id long, mark long, key long, check long, words int, own array<int>")
 
 
 def deletions(
@@ -184,7 +184,7 @@ def deletions(
                 names=["id", "mark", "gone", "n_blocks"],
             )
 
-    gone = pairs.mapInArrow(align, "id long, mark long, gone array<int>, n_blocks long").where(F.size("gone") > 0)
+    gone = mapped(pairs, align, "id long, mark long, gone array<int>, n_blocks long").where(F.size("gone") > 0)
     return gone.groupBy("id", "mark").agg(
         F.sort_array(F.flatten(F.collect_list("gone"))).alias("gone"),
         F.sum("n_blocks").alias("n_blocks"),

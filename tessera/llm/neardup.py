@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import spaced_words, spread, staged, table
+from .base import mapped, spaced_words, spread, staged, table
 
 SHINGLE = 5
 BINS = 256
@@ -112,7 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=["id", "n", "h1", "h2", "bands"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, h1 long, h2 long, bands array<long>")
+    return mapped(docs, run, "id long, n long, h1 long, h2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 names=["id", "n", "items"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, items array<long>")
+    return mapped(docs, run, "id long, n long, items array<long>")
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:

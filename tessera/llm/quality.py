@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ALNUM_WORDS, table, utf8
+from .base import ALNUM_WORDS, mapped, table, utf8
 
 BITS = 18
 GRADES = 3
@@ -150,7 +150,7 @@ def train(
                 [b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["id", "grade", "cols"]
             )
 
-    found = chosen.mapInArrow(run, "id long, grade int, cols array<int>").toArrow()
+    found = mapped(chosen, run, "id long, grade int, cols array<int>").toArrow()
     found = found.sort_by([("id", "ascending"), ("grade", "ascending")])
     rows = [r.values.to_numpy().astype(np.int64) for r in found["cols"]]
     return Ordinal.fit(rows, found["grade"].to_numpy().astype(np.int64))
@@ -171,7 +171,7 @@ def score(
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, expected_grade double, p_usable double, p_good double, kept boolean")
+    return mapped(rows, run, "id long, expected_grade double, p_usable double, p_good double, kept boolean")
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, keep_at: float = 0.5) -> DataFrame:
@@ -184,7 +184,7 @@ def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, keep_at: f
             p = model.tails([features(t.as_py()) for t in b.column(at)]).reshape(-1, 2)
             yield b.filter(pa.array(np.round(p[:, 1], 9) >= keep_at))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import table, utf8
+from .base import mapped, table, utf8
 
 KINDS = ["assign", "access", "hex", "guess"]
 
@@ -177,8 +177,8 @@ def scan(
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(
-        run, "id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
+    return mapped(
+        rows, run, "id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
     )
 
 
