@@ -17,7 +17,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_classifier", quality.kept_documents),
-    ("line_dedup", linededup.cleaned),
+    ("line_dedup", linededup.cleaned_whole),
     ("near_dedup", neardup.first_of_groups),
     ("decontamination", decontam.decontaminated),
     ("packing", packed),

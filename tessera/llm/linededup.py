@@ -6,10 +6,10 @@ with the square of a line's frequency.  The common lines of a pair (holder, late
 diff: lines unique in both anchor the alignment as a longest increasing subsequence, and the gaps between anchors are aligned in the
 same way.  Runs of aligned lines that are adjacent in both documents are blocks.
 
-A pair overlaps if it shares a rare line, one that occurs at most ``rare`` times; lines too common to be rare still link a
-pair through an aligned block of at least ``long_words`` words (so large groups of copies are found as well).  Blocks
-of at least ``min_words`` words of an overlapping pair are deleted from the later document.  A deleted
-line stays in its holder, always.
+Blocks of at least ``min_words`` words of an overlapping pair are deleted from the later document.  A deleted
+line stays in its holder, always.  The query and the pipeline take each pair as overlapping (``rare=None``): a line has one
+partner anyway, and what is deleted must not hang on how often the corpus holds it.  With a number for ``rare`` a pair
+overlaps if it shares a line that occurs at most so often, or an aligned block of at least ``long_words`` words.
 
 Defined cases: null text and blank lines have nothing to delete, and null stays null; documents with the same
 identifier and the same text are one document, and each row gets the same result; a null identifier comes after all others;
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from .base import mapped, staged, table, utf8
 
 LAST = (1 << 63) - 1
+#: The rule of the query and the pipeline: blocks count by their size alone.
+WHOLE = {"rare": None}
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,7 +90,7 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def doomed(rows: list[dict], rare: int, min_words: int, long_words: int) -> tuple[list[int], int]:
+def doomed(rows: list[dict], rare: int | None, min_words: int, long_words: int) -> tuple[list[int], int]:
     """Line numbers to delete and how many blocks they form, from one pair's common lines.
 
     rows: one per line: n (occurrences), words, own (line numbers in the later document), held (in the holder), key.
@@ -96,7 +98,7 @@ def doomed(rows: list[dict], rare: int, min_words: int, long_words: int) -> tupl
     later = sorted({(p, r["key"]) for r in rows for p in r["own"]})
     held = sorted({(p, r["key"]) for r in rows for p in r["held"]})
     words = {r["key"]: r["words"] for r in rows}
-    linked = any(r["n"] <= rare for r in rows)
+    linked = rare is None or any(r["n"] <= rare for r in rows)
     matches = patience([k for _, k in held], [k for _, k in later])
     blocks: list[list[tuple[int, int, int]]] = []
     for i, j in matches:
@@ -150,7 +152,7 @@ def deletions(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rare: int = 50,
+    rare: int | None = 50,
     min_words: int = 5,
     long_words: int = 30,
 ) -> DataFrame:
@@ -234,13 +236,13 @@ def remaining(text: str, gone: set[int]) -> str:
     return "\n".join(out)
 
 
-def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without the aligned common blocks, with the columns they came with.
+def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str, **rule) -> DataFrame:
+    """Documents without the aligned common blocks, with the columns they came with.
 
     A document that loses all its text goes: what it held is in earlier documents.  n_chars follows the text.
     """
     columns = docs.columns
-    left = dropped_lines(docs, deletions(docs))
+    left = dropped_lines(docs, deletions(docs, **rule))
     changed = F.col("__gone").isNotNull()
     left = left.where(~changed | (F.length(F.trim(F.regexp_replace("__text", r"\s+", " "))) > 0))
     new = {"text": F.col("__text")}
@@ -250,9 +252,14 @@ def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumns(new).select(*columns)
 
 
+def cleaned_whole(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: ``cleaned`` by the rule of the query."""
+    return cleaned(spark, docs, sf_dir, **WHOLE)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    left = dropped_lines(docs, deletions(docs))
+    left = dropped_lines(docs, deletions(docs, **WHOLE))
     return left.select(
         "doc_id",
         F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone.gone")).cast("long").alias("n_lines_removed"),

@@ -487,3 +487,17 @@ def test_line_dedup_repeated_lines(spark):
     assert linededup.line_table(df, "doc_id", "text").count() == 4
     r = linededup.deletions(df, rare=3 * n).collect()
     assert [(x.id, x.gone, x.n_blocks) for x in r] == [(1, list(range(n // 2)), 1)]
+
+
+@pytest.mark.parametrize("copies", [9, 79])
+def test_line_dedup_whatever_the_frequency(spark, copies):
+    """The query and the pipeline delete a shared line of 8 words from small and large corpora alike."""
+    import corpus_pipeline
+
+    line = "this licence line is found in many documents"
+    texts = [f"{line}\nown text number {i} of its document" for i in range(copies)]
+    docs = frame(spark, texts)
+    gone = linededup.deletions(docs, **linededup.WHOLE).collect()
+    assert {r.id: r.gone for r in gone} == {i: [0] for i in range(1, copies)}
+    left = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF).collect()
+    assert {r.doc_id for r in left if line in r.text} == {0}
