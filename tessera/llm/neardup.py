@@ -14,7 +14,8 @@ on the prefixes of their sets, ordered by rarity, with length and positional bou
 out.  A near copy with edits of its own has its unmatched shingles first, and bounds end its search
 before the common text is reached.  What is found is confirmed on full sets too.
 
-With 7 rows and 36 bands two sets at similarity 0.85 share no bucket with probability 1e-6, and rarer above.
+With 7 rows and 36 bands two sets at similarity 0.85 share no bucket with probability 1e-6, and rarer above.  The
+pipeline links at 0.80 and takes 42 bands of 6 there: 3e-6.
 
 Defined cases: null, empty and wordless texts have an empty set, are linked with nothing and kept; a null
 identifier is linked with nothing and kept; rows repeated with one identifier are one document and each give a row;
@@ -36,7 +37,8 @@ from .base import mapped, spaced_words, spread, staged, table
 SHINGLE = 5
 BINS = 256
 ROWS = 7
-BANDS = BINS // ROWS
+#: Links of the pipeline, which has no SQL twin: similarity 0.80.
+PIPELINE = {"percent": 80, "rows": 6}
 PROBES = 1024
 SEED = 7
 
@@ -63,10 +65,11 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 
 class Signer:
-    def __init__(self) -> None:
+    def __init__(self, rows: int = ROWS) -> None:
+        self.rows, self.n_bands = rows, BINS // rows
         self.edges = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
         self.probes = np.random.default_rng(SEED).integers(0, BINS, (BINS, PROBES))
-        self.band = np.arange(BANDS, dtype=np.uint64) + np.uint64(1)
+        self.band = np.arange(self.n_bands, dtype=np.uint64) + np.uint64(1)
 
     def signature(self, s: np.ndarray) -> np.ndarray:
         """Minimum of each bin of a non-empty sorted set; empty bins densified."""
@@ -86,18 +89,18 @@ class Signer:
         return value
 
     def bands(self, s: np.ndarray) -> np.ndarray:
-        rows = self.signature(s)[: BANDS * ROWS].reshape(BANDS, ROWS)
+        rows = self.signature(s)[: self.n_bands * self.rows].reshape(self.n_bands, self.rows)
         code = self.band.copy()
-        for j in range(ROWS):
+        for j in range(self.rows):
             code = mix(code, rows[:, j])
         return code.view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, band_rows: int = ROWS) -> DataFrame:
     """docs (id, text) -> (id, n, h1, h2, bands); (h1, h2) tell sets apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = Signer()
+        signer = Signer(band_rows)
         for b in batches:
             n, h1, h2, bands = [], [], [], []
             for text in b.column(1):
@@ -197,11 +200,11 @@ def classes(sig: DataFrame) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each row; links at 100 * intersection >= percent * union."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = staged(signatures(rows), "signatures")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sig = staged(signatures(texts, rows), "signatures")
     reps = staged(classes(sig), "classes")
     own = reps.where("id = rep").select("id").distinct()
     banded = sig.where("n > 0").join(own, "id", "left_semi").dropDuplicates(["id"])
@@ -211,7 +214,7 @@ def near_groups(
     pairs = staged(members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
 
     wanted = staged(members.select("id").distinct(), "wanted")
-    sets = staged(full_sets(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "sets")
+    sets = staged(full_sets(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "sets")
     links = staged(confirmed(pairs, sets, percent), "links")
     roots = components(links)
 
@@ -242,7 +245,7 @@ def near_groups(
 def first_of_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group, with the columns it came with."""
     columns = docs.columns
-    lost = near_groups(docs).where("not kept").select(F.col("id").alias("__id")).distinct()
+    lost = near_groups(docs, **PIPELINE).where("not kept").select(F.col("id").alias("__id")).distinct()
     return docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti").select(*columns)
 
 

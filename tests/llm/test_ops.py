@@ -288,6 +288,29 @@ def test_near_groups_nulls_and_repeats(spark):
     assert neardup.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_pipeline_links_at_80(spark):
+    """The pipeline's stage drops near copies of similarity 0.80 to 0.85 too."""
+    import corpus_pipeline
+
+    r, texts = random.Random(8), []
+    for _ in range(40):
+        n = r.randint(100, 300)
+        w = ["v%d" % r.randrange(10**6) for _ in range(n)]
+        texts += [" ".join(w), " ".join(w[: round(n * 0.83)])]
+    want, old = brute_groups(texts, 80), brute_groups(texts, 85)
+    assert sum(i == c for i, (_, c) in enumerate(want)) == 40 and sum(i == c for i, (_, c) in enumerate(old)) == 80
+    left = dict(corpus_pipeline.STAGES)["near_dedup"](spark, frame(spark, texts), SF).collect()
+    assert {x.doc_id for x in left} == {i for i, (_, c) in enumerate(want) if i == c}
+
+
+def test_pipeline_sketch_recall():
+    r, signer, hit = random.Random(1), neardup.Signer(neardup.PIPELINE["rows"]), 0
+    for _ in range(200):  # 80 of 100 and 100: the similarity is 0.80
+        s = np.unique(np.array([r.getrandbits(64) for _ in range(100)], dtype=np.uint64))
+        hit += bool(set(signer.bands(s).tolist()) & set(signer.bands(s[20:]).tolist()))
+    assert hit == 200
+
+
 def test_sketch_recall():
     r, signer, hit = random.Random(1), neardup.Signer(), 0
     for _ in range(200):
