@@ -2,7 +2,10 @@
 
 Every non-blank line (trimmed) has a holder: the first document, by identifier, that contains it.  Each later
 occurrence of the line links its document to that holder alone, so links grow with the lines of the corpus and not
-with the square of a line's frequency.  The common lines of a pair (holder, later document) are aligned with patience
+with the square of a line's frequency.  With ``runs`` the shortest runs of adjacent lines that reach ``min_words`` words,
+counted from their first line or from their last one, have holders of their own in the same way: a passage whose lines
+were first seen in different documents is aligned with the first document that holds it.  Every line of a block of
+``min_words`` words is in such a run.  The common lines of a pair (holder, later document) are aligned with patience
 diff: lines unique in both anchor the alignment as a longest increasing subsequence, and the gaps between anchors are aligned in the
 same way.  Runs of aligned lines that are adjacent in both documents are blocks.
 
@@ -20,8 +23,9 @@ empty table gives an empty table; extra columns are kept by ``cleaned`` and not
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -32,7 +36,7 @@ from .base import mapped, staged, table, utf8
 
 LAST = (1 << 63) - 1
 #: The rule of the query and the pipeline: blocks count by their size alone.
-WHOLE = {"rare": None}
+WHOLE = {"rare": None, "runs": True}
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -93,11 +97,13 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 def doomed(rows: list[dict], rare: int | None, min_words: int, long_words: int) -> tuple[list[int], int]:
     """Line numbers to delete and how many blocks they form, from one pair's common lines.
 
-    rows: one per line: n (occurrences), words, own (line numbers in the later document), held (in the holder), key.
+    rows: one per line: n (occurrences), words, own (line numbers in the later document), held (in the holder), key;
+    parts: the lines (key, words) of a run, whose numbers are those of its first line, and null for a line.
     """
-    later = sorted({(p, r["key"]) for r in rows for p in r["own"]})
-    held = sorted({(p, r["key"]) for r in rows for p in r["held"]})
-    words = {r["key"]: r["words"] for r in rows}
+    parts = [(r, [(x["key"], x["words"]) for x in r["parts"]] if r["parts"] else [(r["key"], r["words"])]) for r in rows]
+    later = sorted({(p + at, key) for r, own in parts for p in r["own"] for at, (key, _) in enumerate(own)})
+    held = sorted({(p + at, key) for r, own in parts for p in r["held"] for at, (key, _) in enumerate(own)})
+    words = dict(x for _, own in parts for x in own)
     linked = rare is None or any(r["n"] <= rare for r in rows)
     matches = patience([k for _, k in held], [k for _, k in later])
     blocks: list[list[tuple[int, int, int]]] = []
@@ -114,10 +120,20 @@ def doomed(rows: list[dict], rare: int | None, min_words: int, long_words: int)
     return sorted(x[1] for b in gone for x in b), len(gone)
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, mark, key, check, words, own), one row per document and distinct non-blank line.
+def short_runs(words: list[int], least: int) -> set[tuple[int, int]]:
+    """(first, last) of the shortest runs of two lines or more that reach ``least`` words, from each first and each last line."""
+    before = [0, *accumulate(words)]
+    n = len(words)
+    ahead = ((i, bisect_left(before, before[i] + least) - 1) for i in range(n))
+    back = ((bisect_right(before, before[j + 1] - least) - 1, j) for j in range(n))
+    return {(i, j) for i, j in (*ahead, *back) if 0 <= i < j < n}
+
+
+def line_table(docs: DataFrame, id_col: str, text_col: str, run_words: int = 0) -> DataFrame:
+    """(id, mark, key, check, words, own, parts), one row per document and distinct non-blank line.
 
     ``own`` are the line's places among the non-blank lines, from 0, so a line that a document repeats stays one row.
+    With ``run_words`` also one per distinct run of ``short_runs``: its first lines' places and its lines' keys and words.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
@@ -132,20 +148,32 @@ def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for i, mark, text in zip(*(b.column(c) for c in range(3)), strict=True):
                 places: dict[bytes, list[int]] = {}
                 found = (x for x in (y.strip(b" ") for y in utf8(text.as_py()).split(b"\n")) if x)
+                found = list(found)
                 for at, line in enumerate(found):
                     places.setdefault(line, []).append(at)
                 i, mark = i.as_py(), mark.as_py()
+                known: dict[bytes, tuple[int, int]] = {}
                 for x, own in places.items():
-                    out.append((i, mark, xxhash.xxh3_64_intdigest(x) - (1 << 63), zlib.crc32(x), len(x.split()), own))
+                    known[x] = (xxhash.xxh3_64_intdigest(x) - (1 << 63), len(x.split()))
+                    out.append((i, mark, known[x][0], zlib.crc32(x), known[x][1], own, None))
+                if run_words:
+                    runs: dict[tuple[bytes, ...], list[int]] = {}
+                    for lo, hi in sorted(short_runs([known[x][1] for x in found], run_words)):
+                        runs.setdefault(tuple(found[lo : hi + 1]), []).append(lo)
+                    for run, own in runs.items():
+                        x, lines_of = b"\n".join(run), [{"key": known[y][0], "words": known[y][1]} for y in run]
+                        n = sum(y["words"] for y in lines_of)
+                        out.append((i, mark, xxhash.xxh3_64_intdigest(x) - (1 << 63), zlib.crc32(x), n, own, lines_of))
                 if len(out) >= 20_000:
                     yield batch()
                     out.clear()
         if out:
             yield batch()
 
-    names = ["id", "mark", "key", "check", "words", "own"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
-    return mapped(rows, lines, "id long, mark long, key long, check long, words int, own array<int>")
+    names = ["id", "mark", "key", "check", "words", "own", "parts"]
+    part = pa.struct([("key", pa.int64()), ("words", pa.int32())])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(part)]
+    return mapped(rows, lines, "id long, mark long, key long, check long, words int, own array<int>, parts array<struct<key:long,words:int>>")
 
 
 def deletions(
@@ -155,9 +183,13 @@ def deletions(
     rare: int | None = 50,
     min_words: int = 5,
     long_words: int = 30,
+    runs: bool = False,
 ) -> DataFrame:
-    """(id, mark, gone, n_blocks, n_partners) for the documents that lose lines; ``gone`` counts non-blank lines."""
-    lines = staged(line_table(docs, id_col, text_col), "lines")
+    """(id, mark, gone, n_blocks, n_partners) for the documents that lose lines; ``gone`` counts non-blank lines.
+
+    ``n_blocks`` is summed over partners; with ``runs`` two partners may delete the same line, which ``gone`` has once.
+    """
+    lines = staged(line_table(docs, id_col, text_col, min_words if runs else 0), "lines")
     keys = ["key", "check"]
     first = lines.groupBy(*keys).agg(
         F.min(F.struct("id", "mark")).alias("first"), F.sum(F.size("own")).alias("n"), F.count("*").alias("n_docs")
@@ -174,7 +206,7 @@ def deletions(
         common.where(own != F.col("first"))
         .join(held, keys)
         .groupBy("id", "mark", "first")
-        .agg(F.collect_set(F.struct("own", "key", "n", "words", "held")).alias("rows"))
+        .agg(F.collect_set(F.struct("own", "key", "n", "words", "held", "parts")).alias("rows"))
         .select("id", "mark", "rows")
     )
 
@@ -188,7 +220,7 @@ def deletions(
 
     gone = mapped(pairs, align, "id long, mark long, gone array<int>, n_blocks long").where(F.size("gone") > 0)
     return gone.groupBy("id", "mark").agg(
-        F.sort_array(F.flatten(F.collect_list("gone"))).alias("gone"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"),
         F.sum("n_blocks").alias("n_blocks"),
         F.count("*").alias("n_partners"),
     )

@@ -524,3 +524,34 @@ def test_line_dedup_whatever_the_frequency(spark, copies):
     assert {r.id: r.gone for r in gone} == {i: [0] for i in range(1, copies)}
     left = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF).collect()
     assert {r.doc_id for r in left if line in r.text} == {0}
+
+
+def test_short_runs():
+    r = random.Random(6)
+    for _ in range(300):
+        w = [r.randint(1, 7) for _ in range(r.randint(0, 12))]
+        got = linededup.short_runs(w, 5)
+        ranges = [(i, j) for i in range(len(w)) for j in range(i + 1, len(w)) if sum(w[i : j + 1]) >= 5]
+        assert got == {(i, j) for i, j in ranges if sum(w[i:j]) < 5 or sum(w[i + 1 : j + 1]) < 5}
+        for i, j in ranges:  # each line of a block is in a run of it, or enough by itself
+            inside = [x for x in [*got, *((k, k) for k in range(len(w)) if w[k] >= 5)] if i <= x[0] and x[1] <= j]
+            assert {k for a, b in inside for k in range(a, b + 1)} == set(range(i, j + 1))
+
+
+def test_line_dedup_passage_with_mixed_holders(spark):
+    """A passage goes whole though its lines were first seen in different documents, short ones and at any frequency."""
+    r = random.Random(12)
+    own = iter(range(10**6))
+    noise = lambda n: [" ".join("z%d" % next(own) for _ in range(6)) for _ in range(n)]
+    short = ["a b", "c", "d e f", "g h", "i j k l"]
+    longer = [" ".join("%s%d" % (c, i) for i in range(20)) for c in "pqr"]
+    alone = [[*noise(1), x, *noise(1)] for x in [*short, longer[1]]]
+    r.shuffle(alone)
+    texts = ["\n".join(x) for x in alone]
+    first = len(texts)
+    texts += ["\n".join([*noise(i % 3), *short, *noise(1), *longer, *noise(1)]) for i in range(99)]
+    gone = {x.id: x.gone for x in linededup.deletions(frame(spark, texts), **linededup.WHOLE).collect()}
+    for i in range(first + 1, len(texts)):
+        at = (i - first) % 3
+        assert gone[i] == [*range(at, at + 5), *range(at + 6, at + 9)]
+    assert gone[first] == [7]  # the middle line was seen alone; the short lines alone are under five words
