@@ -4,7 +4,8 @@ Fixed patterns find e-mail addresses, IP addresses, card numbers (Luhn) and phon
 entities.  Beside them every identifier-like token (one that holds a digit or an at sign) is taken with its lexical
 context, the one or two words before it.  Contexts and instances form a bipartite graph.  Seeds induce patterns: a
 context's confidence for a kind is the mean score of its distinct instances, for contexts with enough distinct
-seeds; an instance's score is the noisy-or of its contexts' confidences, and 1 for a seed.  After ``rounds`` rounds, instances
+seeds; an instance's score is the noisy-or of its contexts' confidences, and 1 for a seed.  Instances that score at least
+``accept`` in a round are seeds of that kind in the next one, so contexts without fixed-pattern seeds gain patterns too.  After ``rounds`` rounds, instances
 that the fixed patterns do not know and that score at least ``accept`` are discovered, as kind ``found_<kind>``.
 
 Positions come from splitting a text at a pattern: the pieces' and matches' lengths add up to code points.  All
@@ -148,8 +149,8 @@ def discovered(rows: DataFrame, min_seeds: int, accept: float, rounds: int) -> D
     edges = tokens.select("instance", "kind", F.explode("contexts").alias("context"))
     edges = edges.groupBy("context", "instance").agg(F.max("kind").alias("seed"))
     support = edges.groupBy("context").agg(F.count("*").alias("n"), F.count("seed").alias("seeds"))
-    support = support.where((F.col("seeds") >= min_seeds) & (F.col("seeds") < F.col("n")))
-    # Only contexts that hold both seeds and unknown instances can discover anything.
+    support = support.where((F.col("n") >= min_seeds) & (F.col("seeds") < F.col("n")))
+    # Only contexts that can hold enough seeds, found in a round or known, and an unknown instance can discover anything.
     graph = staged(edges.join(support.select("context", "n"), "context"), "pii_graph")
     scores = graph.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
     scores = scores.distinct()
@@ -157,7 +158,7 @@ def discovered(rows: DataFrame, min_seeds: int, accept: float, rounds: int) -> D
         patterns = (
             graph.join(scores, "instance")
             .groupBy("context", "n", "kind")
-            .agg(F.sum("score").alias("mass"), F.count_if(F.col("seed").isNotNull()).alias("seeds"))
+            .agg(F.sum("score").alias("mass"), F.count_if(F.col("score") >= accept).alias("seeds"))
             .where(F.col("seeds") >= min_seeds)
             .select("context", "kind", F.least(F.col("mass") / F.col("n"), F.lit(0.99)).alias("confidence"))
         )
@@ -168,7 +169,8 @@ def discovered(rows: DataFrame, min_seeds: int, accept: float, rounds: int) -> D
             .agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("score"))
         )
         known = graph.where("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-        scores = staged(known.distinct().unionByName(fresh), "pii_scores")
+        scores = known.unionByName(fresh).groupBy("instance", "kind").agg(F.max("score").alias("score"))
+        scores = staged(scores, "pii_scores")
     best = (
         scores.where(F.col("score") >= accept)
         .groupBy("instance")

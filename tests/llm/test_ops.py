@@ -225,6 +225,18 @@ def test_contexts_discover_identifiers(spark):
     assert list(found) == [12] and found[12] == "found_email:21:35"
 
 
+def test_discovered_identifiers_are_seeds(spark):
+    """A context without fixed-pattern seeds becomes a pattern through what the round before accepted."""
+    texts = [f"noise email address: user{i}@mail.example.org end" for i in range(40)]
+    for i in range(6):
+        texts += [f"other email address: user_at_{i}_mail end", f"please reach me: user_at_{i}_mail end"]
+    texts += ["please reach me: hidden_77_name end", "please reach me: hidden_78_name end"]
+    rows = pii.find_personal(frame(spark, texts), rounds=1).collect()
+    assert {r.id for r in rows if r.n_found} == set(range(40, 52))
+    rows = pii.find_personal(frame(spark, texts)).collect()
+    assert {r.id: r.spans for r in rows if r.n_found and r.id >= 52} == {52: "found_email:17:31", 53: "found_email:17:31"}
+
+
 # ---- near duplicates -------------------------------------------------------------------------------------------
 
 
