@@ -1,22 +1,26 @@
 """Helpers shared by the text-corpus operators.
 
-Staging: lineage is cut by writing narrow tables to the folder that the cluster shares
-(``spark.checkpoint.dir``), so a lost executor costs a re-read and never a recomputation of the corpus.
+Staging (``tessera.sources.staging``): lineage is cut by writing narrow tables to the folder that the cluster shares, so a
+lost executor costs a re-read and never a recomputation of the corpus.
 """
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+from tessera.sources.staging import delete_at_exit, released, scratch_dir, staged
+
+__all__ = ["delete_at_exit", "released", "scratch_dir", "staged"]
+
+#: Bounds of what a Python stage handles at a time.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -52,34 +56,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tessera/{re.sub(r'[^a-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in zero-copy slices of at most SLICE_ROWS rows and, beyond one row, SLICE_BYTES bytes."""
+    for b in batches:
+        at = 0
+        while at < b.num_rows:
+            n = min(SLICE_ROWS, b.num_rows - at)
+            while n > 1 and b.slice(at, n).nbytes > SLICE_BYTES:
+                n = (n + 1) // 2
+            yield b.slice(at, n)
+            at += n
 
 
 def mapped(df: DataFrame, run: Callable, schema: StructType | str) -> DataFrame:
-    """``df.mapInArrow`` in batches of few rows.
+    """``df.mapInArrow`` over slices bounded by bytes.
 
-    Spark bounds an Arrow batch by rows alone, 10,000 by default, and a task holds a batch several times over (JVM
-    vectors, the stream, Python objects, the output), which for long texts outgrows an executor.  The session
-    keeps the smaller bound, unless it has a bound of its own.
+    Spark bounds an Arrow batch by rows, so the Python objects and the output of a batch of long texts could outgrow an
+    executor; a slice's cannot, whatever the session's settings, which stay as they are.
     """
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_ROWS, "10000") == "10000":
-        conf.set(BATCH_ROWS, "500")
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: run(slices(batches)), schema)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that the table does not have."""
+    tag = uuid.uuid4().hex[:8]
+    return [f"__{n}_{tag}" for n in names]
 
 
 def spread(n_rows: int, per_bucket: int = 100_000, least: int = 64) -> int:
@@ -92,7 +93,8 @@ def gapless(df: DataFrame, group: str, order: list[str], out: str, n_rows: int)
 
     A group is split into hash buckets of bounded size; a bucket's rows are numbered in its own task and its
     offset is the running count of the buckets before it, so a group that holds most rows never meets in
-    one task.  ``df`` is read twice: stage it first if it is dear.
+    one task.  ``order`` must tell rows apart (a stored row number does), as equal rows share a bucket.  ``df`` is read
+    twice: stage it first if it is dear.
     """
     n = spread(n_rows)
     rows = df.withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(n)))

@@ -9,17 +9,22 @@ star edges, at most one per member and bucket, never a bucket's pairs.  Candidat
 sets, and connected components are found by alternating large and small stars.
 
 Stars alone could miss a link between two members that are both too far from the centre.  So buckets whose members
-did not end in one component go through a second, exact search: representatives of such buckets are joined
-on the prefixes of their sets, ordered by rarity, with length and positional bounds, pairs inside one component left
-out.  A near copy with edits of its own has its unmatched shingles first, and bounds end its search
-before the common text is reached.  What is found is confirmed on full sets too.
+did not end in one component go through a second, exact search: the sets of such buckets are joined
+on their prefixes, items ordered by rarity, with length and positional bounds, pairs inside one component left
+out.  Of a linked pair the smaller set holds the first common item in the shorter prefix that a partner of its own size
+or more asks for, so a group of equally far documents meets in no item.  Of an item's holders only those outside
+its largest component are joined with all others, so a large component costs one row a holder.  What is found is
+confirmed on full sets too.
 
-With 7 rows and 36 bands two sets at similarity 0.85 share no bucket with probability 1e-6, and rarer above.  The
-pipeline links at 0.80 and takes 42 bands of 6 there: 3e-6.
+With 7 rows and 36 bands two large sets at similarity 0.85 share no bucket with probability 1e-6, and rarer above; sets of
+about 20 items have few filled bins, and there it is about 2e-5 (measured, ``test_sketch_recall``).  The pipeline links at 0.80 and
+takes 42 bands of 6: 3e-6.
 
 Defined cases: null, empty and wordless texts have an empty set, are linked with nothing and kept; a null
-identifier is linked with nothing and kept; rows repeated with one identifier are one document and each give a row;
-very long texts are read whole; other columns are not read; an empty table gives an empty table.
+identifier is linked with nothing and kept; rows of one identifier are one document, which is linked through any of its
+texts, and each row has its own n_shingles (rows without words stay alone); of a group the smallest identifier is kept, so
+ties need no rule; very long texts are read whole; other columns, whatever their names, are not read; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import mapped, spaced_words, spread, staged, table
+from .base import mapped, released, spaced_words, spread, staged, table, unused
 
 SHINGLE = 5
 BINS = 256
@@ -148,10 +153,12 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large.where("u <> v").distinct(), name)
+        released(cur)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
         cur = staged(small.distinct(), name)
+        released(large)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,8 +170,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("a", "b")
 
 
-def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a, b) in different components that can reach the similarity: exact prefix-filtered join."""
+def prefix_tokens(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(item, id, n, pos, root, class, short) of each set's prefix, items in the order of their rarity.
+
+    class: the set's size on a scale on which partners are at most one step apart; short: whether a partner of the same
+    size or more can have this item as the first common one.
+    """
     items = sets.select("id", "n", F.explode("items").alias("item"))
     shared = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
     # Items that no other set holds come first in the order; how many they are is n less the shared ones.
@@ -179,13 +190,36 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     tokens = ordered.select(
         "id", "n", "alone", F.posexplode(F.slice("common", F.lit(1), (F.col("prefix") - F.col("alone")).cast("int")))
     ).select("id", "n", (F.col("alone") + F.col("pos")).alias("pos"), F.col("col.item").alias("item"))
-    tokens = staged(tokens.join(labels, "id"), "prefix_tokens")
-    a, b = (tokens.select("item", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "root")]) for s in "ab")
-    reach = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    near = (F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b"))
-    near &= F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    near &= reach * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
-    return a.join(b, (a["item"] == b["item"]) & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    short = (F.col("n") - F.col("pos")) * (100 + percent) >= 2 * F.col("n") * percent
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
+    return tokens.join(labels, "id").select("item", "id", "n", "pos", "root", size_class.alias("class"), short.alias("short"))
+
+
+def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) in different components that can reach the similarity: exact prefix-filtered join."""
+    tokens = staged(prefix_tokens(sets, labels, percent), "prefix_tokens")
+    roots = tokens.groupBy("item", "root").agg(F.count("*").alias("c"))
+    major = roots.groupBy("item").agg(F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("roots"))
+    major = staged(major.where("roots > 1").select("item", F.col("top.root").alias("major")), "prefix_items")
+    tokens = staged(tokens.join(major, "item"), "prefix_joined")
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("item", "class", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "pos", "root")])
+
+    def near(few: DataFrame, many: DataFrame, smaller: str) -> DataFrame:
+        larger = "ba"[smaller == "b"]
+        steps = F.explode(F.array(F.col("class"), F.col("class") + (1 if smaller == "a" else -1)))
+        a, b = side(few, "a").withColumn("class", steps), side(many, "b")
+        reach = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
+        fit = (F.col("root_a") != F.col("root_b")) & (F.col(f"n_{smaller}") <= F.col(f"n_{larger}"))
+        fit &= F.col(f"n_{smaller}") * 100 >= F.col(f"n_{larger}") * percent
+        fit &= reach * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+        rows = a.join(b, ["item", "class"]).where(fit)
+        return rows.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+    minor = F.col("root") != F.col("major")
+    found = near(tokens.where(minor & F.col("short")), tokens, "a")
+    return found.unionByName(near(tokens.where(minor), tokens.where("short"), "b")).distinct()
 
 
 def classes(sig: DataFrame) -> DataFrame:
@@ -206,17 +240,28 @@ def near_groups(
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sig = staged(signatures(texts, rows), "signatures")
     reps = staged(classes(sig), "classes")
-    own = reps.where("id = rep").select("id").distinct()
-    banded = sig.where("n > 0").join(own, "id", "left_semi").dropDuplicates(["id"])
+    named = reps.groupBy("id").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"), F.count("*").alias("rows"))
+    named = staged(named, "named")
+    # Several rows of one identifier: rare, but then each may have a text of its own.
+    repeats = not named.where("rows > 1").isEmpty()
+    banded = sig.where("n > 0").join(reps.where("id = rep").select("id"), "id", "left_semi")
     banded = banded.select("id", F.explode("bands").alias("bucket"))
+    banded = staged(banded.distinct() if repeats else banded, "bands")
     stars = banded.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last")
     members = staged(banded.join(stars.select("bucket", "hub"), "bucket"), "buckets")
+    released(banded)
     pairs = staged(members.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
 
     wanted = staged(members.select("id").distinct(), "wanted")
-    sets = staged(full_sets(texts.join(wanted, "id", "left_semi").dropDuplicates(["id"])), "sets")
-    links = staged(confirmed(pairs, sets, percent), "links")
+    sets = full_sets(texts.join(wanted, "id", "left_semi"))
+    sets = staged(sets.distinct() if repeats else sets, "sets")
+    links = confirmed(pairs, sets, percent)
+    if repeats:  # equal texts of documents that have others too
+        more = reps.join(named.where("rep < last").select("id"), "id", "left_semi").where("id <> rep")
+        links = links.unionByName(more.select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    links = staged(links.distinct() if repeats else links, "links")
     roots = components(links)
+    released(pairs, reps)
 
     labels = wanted.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
     labels = staged(labels, "labels")
@@ -227,26 +272,31 @@ def near_groups(
     more = staged(confirmed(more, sets, percent), "more_links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
+    released(members, sets, rest, labels)
 
-    named = reps.dropDuplicates(["id"]).join(roots.withColumnRenamed("id", "rep"), "rep", "left")
+    named = named.select("id", "rep").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     named = named.select("id", F.coalesce("root", "rep").alias("component_id"))
+    component = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return (
         sig.select("id", "n")
         .join(named, "id", "left")
         .select(
             "id",
             F.col("n").alias("n_shingles"),
-            F.coalesce("component_id", "id").alias("component_id"),
-            F.coalesce(F.col("id") == F.coalesce("component_id", "id"), F.lit(True)).alias("kept"),
+            component.alias("component_id"),
+            F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
         )
     )
 
 
 def first_of_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group, with the columns it came with."""
-    columns = docs.columns
-    lost = near_groups(docs, **PIPELINE).where("not kept").select(F.col("id").alias("__id")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("__id"), "left_anti").select(*columns)
+    """Pipeline stage: one document of each group, with the columns it came with.
+
+    Null identifiers and texts without words stay; all rows of an identifier stay or go together; the empty table stays empty.
+    """
+    columns, (lost_id,) = docs.columns, unused(docs, "id")
+    lost = near_groups(docs, **PIPELINE).where("not kept").select(F.col("id").alias(lost_id)).distinct()
+    return docs.join(lost, F.col("doc_id") == F.col(lost_id), "left_anti").select(*columns)
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,6 +300,38 @@ def test_near_groups_nulls_and_repeats(spark):
     assert neardup.near_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_near_groups_one_identifier_with_two_texts(spark):
+    """Rows of one identifier are one document: each of its texts can link it, and the result is the same every time."""
+    x, y = " ".join("x%d" % i for i in range(40)), " ".join("y%d" % i for i in range(40))
+    rows = [(7, x), (7, y), (3, x + " tail"), (9, y), (9, y), (5, "z1 z2"), (7, ""), (11, "z1 z2")]
+    for _ in range(2):
+        got = neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted((r.id, r.n_shingles, r.component_id, r.kept) for r in got) == [
+            (3, 37, 3, True), (5, 1, 5, True), (7, 0, 7, True), (7, 36, 3, False), (7, 36, 3, False), (9, 36, 3, False),
+            (9, 36, 3, False), (11, 1, 5, False)]
+
+
+def test_prefix_pairs_of_a_large_component(spark):
+    """The second search finds what brute force finds between components, and a component's own pairs never meet."""
+    r = random.Random(21)
+    base = [r.getrandbits(40) for _ in range(100)]
+    rows = []
+    for i in range(60):  # one large component and some sets near it or to each other
+        own = [r.getrandbits(40) for _ in range(r.randint(0, 14))]
+        rows.append((i, sorted({*base[: 100 - r.randint(0, 6)], *own}), 0 if i < 40 else i))
+    sets = spark.createDataFrame([(i, len(s), s) for i, s, _ in rows], "id long, n long, items array<long>")
+    labels = spark.createDataFrame([(i, c) for i, _, c in rows], "id long, root long")
+    pairs = neardup.prefix_pairs(sets, labels, 85)
+    got = {(x.a, x.b) for x in neardup.confirmed(pairs, sets, 85).collect()}
+    want = set()
+    for (i, s, c), (j, t, d) in itertools.combinations(rows, 2):
+        common = len(set(s) & set(t))
+        if c != d and 100 * common >= 85 * (len(s) + len(t) - common):
+            want.add((i, j))
+    assert got == want and len(want) > 50
+    assert all(rows[x.a][2] != rows[x.b][2] for x in pairs.collect())
+
+
 def test_pipeline_links_at_80(spark):
     """The pipeline's stage drops near copies of similarity 0.80 to 0.85 too."""
     import corpus_pipeline
@@ -323,13 +355,16 @@ def test_pipeline_sketch_recall():
     assert hit == 200
 
 
-def test_sketch_recall():
-    r, signer, hit = random.Random(1), neardup.Signer(), 0
-    for _ in range(200):
-        s = np.unique(np.array([r.getrandbits(64) for _ in range(100)], dtype=np.uint64))
-        t = np.unique(np.concatenate([s[7:], np.array([r.getrandbits(64) for _ in range(7)], dtype=np.uint64)]))
-        hit += bool(set(signer.bands(s).tolist()) & set(signer.bands(t).tolist()))
-    assert hit == 200
+@pytest.mark.parametrize("size", [8, 17, 20, 40, 100, 400])
+def test_sketch_recall(size):
+    """Sets at the least similarity that links, small ones too: at most 3 of 2,000 share no bucket."""
+    r, signer, missed = np.random.default_rng(size), neardup.Signer(), 0
+    k = size * 85 // 100 + (size * 85 % 100 > 0)  # a subset of k out of size items
+    for _ in range(2000):
+        s = np.unique(r.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+        t = np.sort(r.permutation(s)[:k])
+        missed += not set(signer.bands(s).tolist()) & set(signer.bands(t).tolist())
+    assert missed <= 3
 
 
 # ---- sharding --------------------------------------------------------------------------------------------------
