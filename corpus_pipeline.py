@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages; each reads what its predecessor wrote."""
+"""A corpus pipeline of five stages; each reads what its predecessor wrote.
+
+Defined cases: an empty table passes every stage empty; null and empty texts go where the stages' docstrings say; repeated
+rows are rows like any other; extra columns, whatever their names, pass all stages but the last, which returns a row of
+packing for each document.  The stages' tables go when the driver's JVM ends.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontam, linededup, neardup, packing, quality
-from tessera.llm.base import scratch_dir
+from tessera.sources.staging import delete_at_exit, scratch_dir
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,7 +22,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_classifier", quality.kept_documents),
-    ("line_dedup", linededup.cleaned_whole),
+    ("line_dedup", linededup.cleaned),
     ("near_dedup", neardup.first_of_groups),
     ("decontamination", decontam.decontaminated),
     ("packing", packed),
@@ -30,6 +35,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{scratch_dir(spark)}/tessera/pipeline-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}_{name}"
         out = stage(spark, docs, sf_dir)
