@@ -1,23 +1,27 @@
 """Line deduplication by pairwise alignment.
 
-Every non-blank line (trimmed) has a holder: the first document, by identifier, that contains it.  Each later
-occurrence of the line links its document to that holder alone, so links grow with the lines of the corpus and not
-with the square of a line's frequency.  With ``runs`` the shortest runs of adjacent lines that reach ``min_words`` words,
-counted from their first line or from their last one, have holders of their own in the same way: a passage whose lines
-were first seen in different documents is aligned with the first document that holds it.  Every line of a block of
-``min_words`` words is in such a run.  The common lines of a pair (holder, later document) are aligned with patience
-diff: lines unique in both anchor the alignment as a longest increasing subsequence, and the gaps between anchors are aligned in the
-same way.  Runs of aligned lines that are adjacent in both documents are blocks.
-
-Blocks of at least ``min_words`` words of an overlapping pair are deleted from the later document.  A deleted
-line stays in its holder, always.  The query and the pipeline take each pair as overlapping (``rare=None``): a line has one
-partner anyway, and what is deleted must not hang on how often the corpus holds it.  With a number for ``rare`` a pair
-overlaps if it shares a line that occurs at most so often, or an aligned block of at least ``long_words`` words.
+Overlapping documents are found through shared line hashes: of every non-blank line (trimmed), and of the shortest runs of
+adjacent lines that reach ``min_words`` words, counted from their first line or from their last one.  Runs are what makes
+the hashes rare: a passage of common lines is rare as a whole.  A hash has a holder, the first document by identifier that
+contains it, and links each later document to that holder, so links grow with the lines of the corpus and not
+with the square of a line's frequency.
+
+A pair (holder, later document) is aligned with patience diff over what it shares: lines unique in both anchor the
+alignment as a longest increasing subsequence, and the gaps between anchors are aligned in the same way.  Aligned lines
+that are adjacent in both documents form blocks; blocks of at least ``min_words`` words go from the later document.
+What has another order in the holder cannot be in one alignment: such lines are left over, and where a line or run of enough
+words is left over, it is a block of its own.
+
+Nothing is lost by holders.  Let a block of enough words stand in a later and in any earlier document.  Each of its lines
+lies in a line or run of enough words inside the block, whose holder is the earlier document or one before it,
+so the line is in a block shared with that holder.  Nothing vanishes: the first document that contains a line has
+no earlier holder for any run with that line, and keeps it.  How often the corpus holds a line plays no part.
 
 Defined cases: null text and blank lines have nothing to delete, and null stays null; documents with the same
-identifier and the same text are one document, and each row gets the same result; a null identifier comes after all others;
-documents of which no line is left become the empty text; very long documents are read whole; an
-empty table gives an empty table; extra columns are kept by ``cleaned`` and not read otherwise.
+identifier and the same text are one document, and each row gets the same result; of equal documents with different
+identifiers the smaller keeps its lines; a null identifier comes after all others; documents of which no line is left become the empty
+text; very long documents are read whole; an empty table gives an empty table; extra columns, whatever their
+names, are kept by ``cleaned`` and not read otherwise.
 """
 
 from __future__ import annotations
@@ -32,12 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import mapped, staged, table, utf8
-
-LAST = (1 << 63) - 1
-#: The rule of the query and the pipeline: blocks count by their size alone.
-WHOLE = {"rare": None, "runs": True}
-
+from .base import mapped, released, staged, table, unused, utf8
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence of pairs, sorted by the first, whose second values rise."""
@@ -94,17 +93,16 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def doomed(rows: list[dict], rare: int | None, min_words: int, long_words: int) -> tuple[list[int], int]:
-    """Line numbers to delete and how many blocks they form, from one pair's common lines.
+def doomed(rows: list[dict], min_words: int) -> tuple[list[int], int]:
+    """Line numbers to delete and how many blocks they form, from what one pair shares.
 
-    rows: one per line: n (occurrences), words, own (line numbers in the later document), held (in the holder), key;
+    rows: one per line or run: own (line numbers in the later document), held (in the holder), key, words;
     parts: the lines (key, words) of a run, whose numbers are those of its first line, and null for a line.
     """
     parts = [(r, [(x["key"], x["words"]) for x in r["parts"]] if r["parts"] else [(r["key"], r["words"])]) for r in rows]
     later = sorted({(p + at, key) for r, own in parts for p in r["own"] for at, (key, _) in enumerate(own)})
     held = sorted({(p + at, key) for r, own in parts for p in r["held"] for at, (key, _) in enumerate(own)})
     words = dict(x for _, own in parts for x in own)
-    linked = rare is None or any(r["n"] <= rare for r in rows)
     matches = patience([k for _, k in held], [k for _, k in later])
     blocks: list[list[tuple[int, int, int]]] = []
     for i, j in matches:
@@ -113,11 +111,15 @@ def doomed(rows: list[dict], rare: int | None, min_words: int, long_words: int)
             blocks[-1].append((p, q, w))
         else:
             blocks.append([(p, q, w)])
-    sizes = [sum(x[2] for x in b) for b in blocks]
-    if not linked and max(sizes, default=0) < long_words:
-        return [], 0
-    gone = [b for b, n in zip(blocks, sizes, strict=True) if n >= min_words]
-    return sorted(x[1] for b in gone for x in b), len(gone)
+    aligned = [b for b in blocks if sum(x[2] for x in b) >= min_words]
+    gone = {x[1] for b in aligned for x in b}
+    left = set()
+    for r, own in parts:
+        if r["words"] >= min_words:
+            left |= {q for p in r["own"] for q in range(p, p + len(own))}
+    left -= gone
+    moved = sum(q - 1 not in left for q in left)
+    return sorted(gone | left), len(aligned) + moved
 
 
 def short_runs(words: list[int], least: int) -> set[tuple[int, int]]:
@@ -129,14 +131,26 @@ def short_runs(words: list[int], least: int) -> set[tuple[int, int]]:
     return {(i, j) for i, j in (*ahead, *back) if 0 <= i < j < n}
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, run_words: int = 0) -> DataFrame:
-    """(id, mark, key, check, words, own, parts), one row per document and distinct non-blank line.
+def document_key(id_col: str, text_col: str) -> list[Column]:
+    """Columns that name a document and order documents: null identifiers last, then the identifier, then the text's hash."""
+    number = F.col(id_col).cast("long")
+    return [
+        number.isNull().alias("late"),
+        F.coalesce(number, F.lit(0)).alias("id"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"),
+    ]
+
+
+DOCUMENT = ["late", "id", "mark"]
+
 
-    ``own`` are the line's places among the non-blank lines, from 0, so a line that a document repeats stays one row.
-    With ``run_words`` also one per distinct run of ``short_runs``: its first lines' places and its lines' keys and words.
+def line_table(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(late, id, mark, key, check, words, own, parts), one row per document and distinct non-blank line or short run.
+
+    ``own`` are the line's places among the non-blank lines, from 0, so a line that a document repeats stays one row; for
+    a run of ``short_runs`` its first line's places, and ``parts`` its lines' keys and words.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("mark"), text.alias("t"))
+    rows = docs.select(*document_key(id_col, text_col), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -145,99 +159,89 @@ def line_table(docs: DataFrame, id_col: str, text_col: str, run_words: int = 0)
             return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], t) for c, t in enumerate(kinds)], names=names)
 
         for b in batches:
-            for i, mark, text in zip(*(b.column(c) for c in range(3)), strict=True):
+            for late, i, mark, text in zip(*(b.column(c) for c in range(4)), strict=True):
                 places: dict[bytes, list[int]] = {}
-                found = (x for x in (y.strip(b" ") for y in utf8(text.as_py()).split(b"\n")) if x)
-                found = list(found)
+                found = [x for x in (y.strip(b" ") for y in utf8(text.as_py()).split(b"\n")) if x]
                 for at, line in enumerate(found):
                     places.setdefault(line, []).append(at)
-                i, mark = i.as_py(), mark.as_py()
+                late, i, mark = late.as_py(), i.as_py(), mark.as_py()
                 known: dict[bytes, tuple[int, int]] = {}
                 for x, own in places.items():
                     known[x] = (xxhash.xxh3_64_intdigest(x) - (1 << 63), len(x.split()))
-                    out.append((i, mark, known[x][0], zlib.crc32(x), known[x][1], own, None))
-                if run_words:
-                    runs: dict[tuple[bytes, ...], list[int]] = {}
-                    for lo, hi in sorted(short_runs([known[x][1] for x in found], run_words)):
-                        runs.setdefault(tuple(found[lo : hi + 1]), []).append(lo)
-                    for run, own in runs.items():
-                        x, lines_of = b"\n".join(run), [{"key": known[y][0], "words": known[y][1]} for y in run]
-                        n = sum(y["words"] for y in lines_of)
-                        out.append((i, mark, xxhash.xxh3_64_intdigest(x) - (1 << 63), zlib.crc32(x), n, own, lines_of))
+                    out.append((late, i, mark, known[x][0], zlib.crc32(x), known[x][1], own, None))
+                runs: dict[tuple[bytes, ...], list[int]] = {}
+                for lo, hi in sorted(short_runs([known[x][1] for x in found], min_words)):
+                    runs.setdefault(tuple(found[lo : hi + 1]), []).append(lo)
+                for run, own in runs.items():
+                    x, lines_of = b"\n".join(run), [{"key": known[y][0], "words": known[y][1]} for y in run]
+                    n = sum(y["words"] for y in lines_of)
+                    out.append((late, i, mark, xxhash.xxh3_64_intdigest(x) - (1 << 63), zlib.crc32(x), n, own, lines_of))
                 if len(out) >= 20_000:
                     yield batch()
                     out.clear()
         if out:
             yield batch()
 
-    names = ["id", "mark", "key", "check", "words", "own", "parts"]
+    names = [*DOCUMENT, "key", "check", "words", "own", "parts"]
     part = pa.struct([("key", pa.int64()), ("words", pa.int32())])
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(part)]
-    return mapped(rows, lines, "id long, mark long, key long, check long, words int, own array<int>, parts array<struct<key:long,words:int>>")
-
-
-def deletions(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    rare: int | None = 50,
-    min_words: int = 5,
-    long_words: int = 30,
-    runs: bool = False,
-) -> DataFrame:
-    """(id, mark, gone, n_blocks, n_partners) for the documents that lose lines; ``gone`` counts non-blank lines.
+    kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(part)]
+    schema = "late boolean, id long, mark long, key long, check long, words int, own array<int>, parts array<struct<key:long,words:int>>"
+    return mapped(rows, lines, schema)
+
+
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5) -> DataFrame:
+    """(late, id, mark, gone, n_blocks, n_partners) for the documents that lose lines; ``gone`` counts non-blank lines from 0.
 
-    ``n_blocks`` is summed over partners; with ``runs`` two partners may delete the same line, which ``gone`` has once.
+    ``n_blocks`` is summed over partners; two partners may delete the same line, which ``gone`` has once.
     """
-    lines = staged(line_table(docs, id_col, text_col, min_words if runs else 0), "lines")
-    keys = ["key", "check"]
-    first = lines.groupBy(*keys).agg(
-        F.min(F.struct("id", "mark")).alias("first"), F.sum(F.size("own")).alias("n"), F.count("*").alias("n_docs")
-    )
+    lines = staged(line_table(docs, id_col, text_col, min_words), "lines")
+    keys, own = ["key", "check"], F.struct(*DOCUMENT)
+    first = lines.groupBy(*keys).agg(F.min(own).alias("first"), F.count("*").alias("n_docs"))
     first = first.where("n_docs > 1").drop("n_docs")
     # Staged by itself, so that the join has an exchange of its own on both sides and a hot line can be split.
     first = staged(first, "line_holders")
     common = staged(lines.join(first, keys), "common_lines")
-    own = F.struct("id", "mark")
+    released(lines, first)
     # Rows that repeat the holder have equal places.
     held = common.where(own == F.col("first")).groupBy(*keys).agg(F.max("own").alias("held"))
     held = staged(held, "held_lines")
     pairs = (
         common.where(own != F.col("first"))
         .join(held, keys)
-        .groupBy("id", "mark", "first")
-        .agg(F.collect_set(F.struct("own", "key", "n", "words", "held", "parts")).alias("rows"))
-        .select("id", "mark", "rows")
+        .groupBy(*DOCUMENT, "first")
+        .agg(F.collect_set(F.struct("own", "key", "words", "held", "parts")).alias("rows"))
+        .select(*DOCUMENT, "rows")
     )
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [doomed(r.as_py(), rare, min_words, long_words) for r in b.column(2)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.int64())],
-                names=["id", "mark", "gone", "n_blocks"],
-            )
-
-    gone = mapped(pairs, align, "id long, mark long, gone array<int>, n_blocks long").where(F.size("gone") > 0)
-    return gone.groupBy("id", "mark").agg(
+            found = [doomed(r.as_py(), min_words) for r in b.column(3)]
+            gone, n = pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in range(3)), gone, n], names=[*DOCUMENT, "gone", "n_blocks"])
+
+    gone = mapped(pairs, align, "late boolean, id long, mark long, gone array<int>, n_blocks long").where(F.size("gone") > 0)
+    return gone.groupBy(*DOCUMENT).agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"),
         F.sum("n_blocks").alias("n_blocks"),
         F.count("*").alias("n_partners"),
     )
 
 
-def dropped_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with two more columns: __text, the text that is left, and __gone, the result of ``deletions``."""
-    found = gone.select("id", "mark", F.struct("gone", "n_blocks", "n_partners").alias("__gone"))
-    keyed = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn(
-        "__mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+def dropped_lines(
+    docs: DataFrame, gone: DataFrame, left: str, found: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """docs with two more columns: ``left``, the text that is left, and ``found``, the result of ``deletions``."""
+    own, theirs = unused(docs, *DOCUMENT), unused(docs, *DOCUMENT)
+    result = gone.select(
+        *[F.col(c).alias(t) for c, t in zip(DOCUMENT, theirs, strict=True)], F.struct("gone", "n_blocks", "n_partners").alias(found)
     )
-    found = found.withColumnsRenamed({"id": "__gid", "mark": "__gmark"})
-    joined = keyed.join(found, (F.col("__id") == F.col("__gid")) & (F.col("__mark") == F.col("__gmark")), "left")
-
-    gone = F.col("__gone.gone")
-    kept = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), gone))
-    return joined.withColumn("__text", kept)
+    keyed = docs.select("*", *[c.alias(o) for c, o in zip(document_key(id_col, text_col), own, strict=True)])
+    same = F.lit(True)
+    for o, t in zip(own, theirs, strict=True):
+        same = (F.col(o) == F.col(t)) if o == own[0] else same & (F.col(o) == F.col(t))
+    joined = keyed.join(result, same, "left")
+    kept = F.when(F.col(found).isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), F.col(f"{found}.gone")))
+    return joined.withColumn(left, kept).drop(*own, *theirs)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -257,46 +261,31 @@ def without_lines(text: Column, gone: Column) -> Column:
     return bound(F.split(text, "\n", -1), cut)
 
 
-def remaining(text: str, gone: set[int]) -> str:
-    out, at = [], -1
-    for line in text.split("\n"):
-        if line.strip(" "):
-            at += 1
-            if at in gone:
-                continue
-        out.append(line)
-    return "\n".join(out)
-
-
-def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str, **rule) -> DataFrame:
-    """Documents without the aligned common blocks, with the columns they came with.
+def cleaned(spark: SparkSession, docs: DataFrame, sf_dir: str, min_words: int = 5) -> DataFrame:
+    """Pipeline stage: documents without the aligned common blocks, with the columns they came with.
 
     A document that loses all its text goes: what it held is in earlier documents.  n_chars follows the text.
     """
     columns = docs.columns
-    left = dropped_lines(docs, deletions(docs, **rule))
-    changed = F.col("__gone").isNotNull()
-    left = left.where(~changed | (F.length(F.trim(F.regexp_replace("__text", r"\s+", " "))) > 0))
-    new = {"text": F.col("__text")}
+    text, found = unused(docs, "text", "found")
+    left = dropped_lines(docs, deletions(docs, min_words=min_words), text, found)
+    changed = F.col(found).isNotNull()
+    left = left.where(~changed | F.rlike(F.col(text), F.lit(r"\S")))
+    new = {"text": F.col(text)}
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(changed, F.length("__text").cast(kind)).otherwise(F.col("n_chars"))
+        new["n_chars"] = F.when(changed, F.length(text).cast(kind)).otherwise(F.col("n_chars"))
     return left.withColumns(new).select(*columns)
 
 
-def cleaned_whole(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: ``cleaned`` by the rule of the query."""
-    return cleaned(spark, docs, sf_dir, **WHOLE)
-
-
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    left = dropped_lines(docs, deletions(docs, **WHOLE))
+    left = dropped_lines(docs, deletions(docs), "left", "found")
     return left.select(
         "doc_id",
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone.gone")).cast("long").alias("n_lines_removed"),
-        F.coalesce("__gone.n_blocks", F.lit(0)).alias("n_blocks"),
-        F.coalesce("__gone.n_partners", F.lit(0)).alias("n_partners"),
-        F.coalesce(F.length("__text"), F.lit(0)).cast("long").alias("n_chars_left"),
-        F.sha2(F.coalesce("__text", F.lit("")), 256).alias("text_sha256"),
+        F.when(F.col("found").isNull(), 0).otherwise(F.size("found.gone")).cast("long").alias("n_lines_removed"),
+        F.coalesce("found.n_blocks", F.lit(0)).alias("n_blocks"),
+        F.coalesce("found.n_partners", F.lit(0)).alias("n_partners"),
+        F.coalesce(F.length("left"), F.lit(0)).cast("long").alias("n_chars_left"),
+        F.sha2(F.coalesce("left", F.lit("")), 256).alias("text_sha256"),
     )

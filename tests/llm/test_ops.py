@@ -474,38 +474,38 @@ def test_quality_edges(spark):
 # ---- line dedup ------------------------------------------------------------------------------------------------
 
 
-def brute_lines(texts, rare=50, min_words=5, long_words=30):
-    """The stated rule by plain loops over documents; the alignment itself is tested apart."""
-    docs, holder, count = [], {}, defaultdict(int)
-    for i, t in enumerate(texts):
-        lines = [x.strip(" ") for x in (t or "").split("\n") if x.strip(" ")]
-        docs.append(lines)
-        for x in lines:
-            holder.setdefault(x, (i, t))
-            count[x] += 1
+def brute_blocks(texts, min_words=5):
+    """Lines to delete by comparing every document with every earlier one, without the library's alignment or holders.
+
+    A line goes if it lies in adjacent lines of at least min_words words that any earlier, different document has adjacent too.
+    """
+    docs = [[x.strip(" ") for x in (t or "").split("\n") if x.strip(" ")] for t in texts]
     gone = defaultdict(set)
-    for i, lines in enumerate(docs):
-        by = defaultdict(list)
-        for at, x in enumerate(lines):
-            if holder[x][1] != texts[i]:
-                by[holder[x][0]].append((at, x))
-        for h, own in by.items():
-            keys = {x for _, x in own}
-            held = [(at, x) for at, x in enumerate(docs[h]) if x in keys]
-            m = linededup.patience([x for _, x in held], [x for _, x in own])
-            blocks = []
-            for a, b in m:
-                p, q = held[a][0], own[b][0]
-                if blocks and blocks[-1][-1] == (p - 1, q - 1):
-                    blocks[-1].append((p, q))
-                else:
-                    blocks.append([(p, q)])
-            size = [sum(len(re.split(r"\s+", lines[q])) for _, q in b) for b in blocks]
-            if any(count[x] <= rare for x in keys) or max(size, default=0) >= long_words:
-                gone[i] |= {q for b, n in zip(blocks, size) if n >= min_words for _, q in b}
+    for later, a in enumerate(docs):
+        for b in {tuple(docs[e]) for e in range(later) if texts[e] != texts[later]} | ({tuple(a)} if texts[later] in texts[:later] else set()):
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    if a[i] != b[j] or (i and j and a[i - 1] == b[j - 1]):
+                        continue
+                    k = 0
+                    while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                        k += 1
+                    if sum(len(x.split()) for x in a[i : i + k]) >= min_words:
+                        gone[later] |= set(range(i, i + k))
     return gone
 
 
+def remaining(text, gone):
+    out, at = [], -1
+    for line in text.split("\n"):
+        if line.strip(" "):
+            at += 1
+            if at in gone:
+                continue
+        out.append(line)
+    return "\n".join(out)
+
+
 def test_patience():
     r = random.Random(2)
     for _ in range(200):
@@ -527,26 +527,52 @@ def test_line_dedup(spark):
     long = " ".join("c%d" % i for i in range(40))
     texts = [*ODD]
     for _ in range(90):
-        lines = [r.choice(pool) if r.random() < 0.3 else prose(8) for _ in range(r.randint(1, 12))]
+        lines = [r.choice(pool) if r.random() < 0.4 else prose(8) for _ in range(r.randint(1, 12))]
         at = r.randrange(10)
         lines[at:at] = [r.choice(pool)] + ([common] if r.random() < 0.8 else []) + ([long] if r.random() < 0.7 else [])
         texts.append("\n".join(x if r.random() < 0.9 else "  " + x + " \n" for x in lines))
     texts += texts[12:15]
+    for i in range(20, 60):  # passages of short lines, some in another order
+        some = texts[i].split("\n")
+        r.shuffle(some)
+        texts.append("\n".join(some))
     df = frame(spark, texts)
     got = {x.id: set(x.gone) for x in linededup.deletions(df).select("id", "gone").collect()}
-    want = {i: g for i, g in brute_lines(texts).items() if g}
-    assert want and any(long in texts[i] for i in want)
-    first = {}
-    for i, t in enumerate(texts):
-        first.setdefault(t, i)
-    assert {i: g for i, g in got.items() if first[texts[i]] == i} == {i: g for i, g in want.items() if first[texts[i]] == i}
-    left = {x.doc_id: x for x in linededup.cleaned(spark, df, SF).collect()}
+    want = {i: g for i, g in brute_blocks(texts).items() if g}
+    assert got == want and any(long in texts[i] for i in want)  # recall and precision 1 against all pairs
+    kept = {x for i, t in enumerate(texts) for x in map(str.strip, remaining(t or "", got.get(i, set())).split("\n"))}
+    assert all(x.strip() in kept for t in texts for x in (t or "").split("\n"))  # no line vanishes everywhere
+    odd = df.selectExpr("*", "doc_id id", "text t", "n_chars mark", "lang gone", "lang first")
+    rows = linededup.cleaned(spark, odd, SF)
+    assert rows.columns == odd.columns
+    left = {x.doc_id: x for x in rows.collect()}
     for i, t in enumerate(texts):
         if i not in got:
             assert left[i].text == t and left[i].n_chars == len(t or "")
         elif i in left:
-            assert left[i].text == linededup.remaining(t, got[i]) and left[i].n_chars == len(left[i].text)
-    assert linededup.deletions(df.limit(0)).count() == 0
+            assert left[i].text == remaining(t, got[i]) and left[i].n_chars == len(left[i].text)
+        else:
+            assert not remaining(t, got[i]).strip()
+    assert linededup.deletions(df.limit(0)).count() == 0 and linededup.cleaned(spark, df.limit(0), SF).count() == 0
+
+
+def test_line_dedup_finds_copies_whose_lines_were_seen_before(spark):
+    """Four lines of four words, each first seen in another document, stand together in documents 10 and 11."""
+    lines = ["one two three four", "five six seven eight", "nine ten eleven twelve", "alpha beta gamma delta"]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(10, "\n".join(lines)), (11, "\n".join(lines) + "\nend")]
+    for some in (rows, rows[4:]):
+        got = linededup.deletions(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert [(x.id, x.gone) for x in got] == [(11, [0, 1, 2, 3])]
+
+
+def test_line_dedup_identifiers(spark):
+    """Null identifiers come last, the largest identifier is no null, and repeated rows get one result."""
+    x, last = "a line of five words\n", (1 << 63) - 1
+    rows = [(None, x + "n"), (last, x + "l"), (5, x + "f"), (5, x + "f"), (8, x + "e"), (8, x + "e"), (5, x + "other")]
+    left = linededup.cleaned(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    whole = sorted((r.doc_id, r.text) for r in left if x in r.text)
+    assert len(left) == 7 and len({w for w in whole}) == 1 and whole[0][0] == 5
+    assert {r.text for r in left if r.doc_id in (None, last)} == {"n", "l"}
 
 
 def test_line_dedup_repeated_lines(spark):
@@ -554,22 +580,20 @@ def test_line_dedup_repeated_lines(spark):
     n = 20_000
     texts = ["one line that is found again\n" * n + "its own end", "one line that is found again\n" * (n // 2) + "another end"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert linededup.line_table(df, "doc_id", "text").count() == 4
-    r = linededup.deletions(df, rare=3 * n).collect()
-    assert [(x.id, x.gone, x.n_blocks) for x in r] == [(1, list(range(n // 2)), 1)]
+    assert linededup.line_table(df, "doc_id", "text", 5).count() == 6
+    r = linededup.deletions(df).collect()
+    assert [(x.id, x.gone) for x in r] == [(1, list(range(n // 2)))]
 
 
 @pytest.mark.parametrize("copies", [9, 79])
 def test_line_dedup_whatever_the_frequency(spark, copies):
-    """The query and the pipeline delete a shared line of 8 words from small and large corpora alike."""
-    import corpus_pipeline
-
+    """A shared line of 8 words goes from small and large corpora alike."""
     line = "this licence line is found in many documents"
     texts = [f"{line}\nown text number {i} of its document" for i in range(copies)]
     docs = frame(spark, texts)
-    gone = linededup.deletions(docs, **linededup.WHOLE).collect()
+    gone = linededup.deletions(docs).collect()
     assert {r.id: r.gone for r in gone} == {i: [0] for i in range(1, copies)}
-    left = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF).collect()
+    left = linededup.cleaned(spark, docs, SF).collect()
     assert {r.doc_id for r in left if line in r.text} == {0}
 
 
@@ -597,7 +621,7 @@ def test_line_dedup_passage_with_mixed_holders(spark):
     texts = ["\n".join(x) for x in alone]
     first = len(texts)
     texts += ["\n".join([*noise(i % 3), *short, *noise(1), *longer, *noise(1)]) for i in range(99)]
-    gone = {x.id: x.gone for x in linededup.deletions(frame(spark, texts), **linededup.WHOLE).collect()}
+    gone = {x.id: x.gone for x in linededup.deletions(frame(spark, texts)).collect()}
     for i in range(first + 1, len(texts)):
         at = (i - first) % 3
         assert gone[i] == [*range(at, at + 5), *range(at + 6, at + 9)]
