@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import mapped, released, staged, table, unused, utf8
+from .base import bound, mapped, released, staged, table, unused, utf8
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence of pairs, sorted by the first, whose second values rise."""
@@ -244,11 +244,6 @@ def dropped_lines(
     return joined.withColumn(left, kept).drop(*own, *theirs)
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value evaluated once a row however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
-
-
 def without_lines(text: Column, gone: Column) -> Column:
     """The text without its non-blank lines of the numbers ``gone``; linear in its lines, JVM-side."""
 

@@ -226,15 +226,62 @@ def test_contexts_discover_identifiers(spark):
 
 
 def test_discovered_identifiers_are_seeds(spark):
-    """A context without fixed-pattern seeds becomes a pattern through what the round before accepted."""
-    texts = [f"noise email address: user{i}@mail.example.org end" for i in range(40)]
-    for i in range(6):
-        texts += [f"other email address: user_at_{i}_mail end", f"please reach me: user_at_{i}_mail end"]
-    texts += ["please reach me: hidden_77_name end", "please reach me: hidden_78_name end"]
-    rows = pii.find_personal(frame(spark, texts), rounds=1).collect()
-    assert {r.id for r in rows if r.n_found} == set(range(40, 52))
-    rows = pii.find_personal(frame(spark, texts)).collect()
-    assert {r.id: r.spans for r in rows if r.n_found and r.id >= 52} == {52: "found_email:17:31", 53: "found_email:17:31"}
+    """Contexts without fixed-pattern seeds become patterns through what was accepted before, over several hops."""
+    texts = [f"noise email address: user{i}@mail.example.org end" for i in range(200)]
+    for a, b, n in (("email address:", "please reach me:", 32), ("please reach me:", "my handle is:", 6)):
+        texts += [f"other {x} user_{n}_{i}_mail end" for i in range(n) for x in (a, b)]
+    texts += ["other my handle is: hidden_77_name end", "+1x7777", "as: 9 a 77"]
+    last = len(texts) - 3
+    found = [{r.id: r.spans for r in pii.find_personal(frame(spark, texts), rounds=k).collect() if r.n_found} for k in (1, 2, 3, 10)]
+    assert [last in x for x in found] == [False, False, True, True]
+    assert found[3] == found[2] and set(found[2]) == set(range(200, last + 1)) and found[2][last] == "found_email:20:34"
+
+
+def test_personal_contexts(spark):
+    """Words before a token, whatever is between; one word only, none, and long ones."""
+    from pyspark.sql import functions as F
+
+    long = "q" * 100
+    texts = ["x1", "Id: X123", f"a {long} id7", "one two\n\tthree4 - five6 7seven", "u v w8 y z9", "+1 (168) 555-0100"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r.i: [tuple(t) for t in r.c] for r in df.select("i", pii.regions_of(F.col("text")).alias("r")).select("i", pii.contexts(F.col("r")).alias("c")).collect()}
+    assert got[0] == [(0, 2, "x1", "", "")] and got[1] == [(4, 8, "X123", "id:", "")]
+    assert got[2] == [(103, 106, "id7", long, "a")]
+    assert [(t[2], t[3], t[4]) for t in got[3]] == [("three4", "two", "one"), ("five6", "-", "three4"), ("7seven", "five6", "-")]
+    assert [(t[2], t[3], t[4]) for t in got[4]] == [("w8", "v", "u"), ("z9", "y", "w8")]
+    assert [t[2:] for t in got[5]] == [("+1", "", ""), ("(168)", "+1", ""), ("555-0100", "(168)", "+1")]
+
+
+def test_personal_time_is_linear(spark):
+    """40,000 tokens take at most 8 times as long as 5,000, and a running sum is right at any length."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 63, 64, 65, 4096, 4097, 5000):
+        df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(n)), lambda x: (x % 7).cast("int")).alias("a"))
+        got = df.select(pii.running(F.slice("a", 1, n), F.lit(3))).first()[0]
+        assert got == [3 + sum(i % 7 for i in range(k)) for k in range(n)][:n]
+
+    def took(n):
+        df = spark.createDataFrame([("word x1@y.zz " * n,)], "text string").select(F.col("text")).cache()
+        df.count()
+        began = time.time()
+        df = df.select(pii.regions_of(F.col("text")).alias("r"))
+        r = df.select(F.size(pii.base_of(F.col("r"), "email")).alias("n"), F.size(pii.contexts(F.col("r"))).alias("c")).first()
+        assert r.n == r.c == n
+        return time.time() - began
+
+    took(5000)
+    assert took(40_000) <= 8 * max(min(took(5000), took(5000)), 0.4)
+
+
+def test_personal_edges(spark):
+    rows = [(1, "a a@b.cc"), (1, "a a@b.cc"), (None, "a@b.cc 1.2.3.4"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' base", "1 row", "2 id", "'t' tokens", "0 kind")
+    got = sorted((str(r.id), r.n_email, r.n_ip) for r in pii.find_personal(df).collect())
+    assert got == [("1", 1, 0), ("1", 1, 0), ("2", 0, 0), ("None", 1, 1)]
+    assert pii.find_personal(df.limit(0)).count() == 0
 
 
 # ---- near duplicates -------------------------------------------------------------------------------------------
