@@ -457,6 +457,38 @@ def test_exact_groups(spark, keep):
     assert exactdup.exact_groups(frame(spark, texts).limit(0)).count() == 0
 
 
+def test_exact_groups_over_many_runs(spark):
+    """Runs of 100 partitions in three rounds, a hot text, null identifiers in a third of the rows."""
+    n = 6000
+    df = spark.range(0, n, 1, 100).selectExpr(
+        "if(id % 3 = 0, null, id) doc_id", "if(id % 3 = 1, 'hot', concat('t', id % 700)) text", "1 run", "'x' digest", "2 keep_id"
+    )
+    by = defaultdict(list)
+    for i in range(n):
+        by["hot" if i % 3 == 1 else f"t{i % 700}"].append(None if i % 3 == 0 else i)
+    want = {t: (max((x for x in v if x is not None), default=None), len(v)) for t, v in by.items()}
+    hashes = {hashlib.sha256(t.encode()).hexdigest(): t for t in by}
+    got = exactdup.exact_groups(df, keep="max").collect()
+    assert len(got) == n
+    for r in got:
+        assert (r.keep_id, r.group_size) == want[hashes[r.text_sha256]] and r.kept == (r.id == r.keep_id)
+
+
+def test_merge_refuses_an_unsorted_run():
+    import pyarrow as pa
+
+    def batch(digests):
+        n = len(digests)
+        columns = [pa.array([0] * n, pa.int32()), pa.array(digests, pa.binary()), *[pa.array([1] * n, pa.int64())] * 4]
+        return pa.RecordBatch.from_arrays(columns, names=exactdup.RUN)
+
+    a, b = b"\x01" * 32, b"\xf0" * 32
+    out = pa.Table.from_batches(exactdup.merge_stream(iter([batch([a, a]), batch([a, b]), batch([b])]), "min"))
+    assert out["n"].to_pylist() == [3, 2] and out["digest"].to_pylist() == [a, b]
+    with pytest.raises(ValueError):
+        list(exactdup.merge_stream(iter([batch([b]), batch([a])]), "min"))
+
+
 # ---- url filter ------------------------------------------------------------------------------------------------
 
 
