@@ -56,6 +56,7 @@ def merge_stream(batches: Iterator[pa.RecordBatch], keep: str) -> Iterator[pa.Re
     for b in batches:
         if not b.num_rows:
             continue
+        b = pa.RecordBatch.from_arrays(b.columns, names=RUN)  # fields that are not null here and may be null in the tail
         rows = pa.Table.from_batches([b] if tail is None else [tail, b]).combine_chunks().to_batches()[0]
         n = rows.num_rows
         digest = np.frombuffer(b"".join(rows.column(1).to_pylist()), dtype=">u8").reshape(n, 4).astype(np.uint64)

@@ -480,7 +480,8 @@ def test_merge_refuses_an_unsorted_run():
     def batch(digests):
         n = len(digests)
         columns = [pa.array([0] * n, pa.int32()), pa.array(digests, pa.binary()), *[pa.array([1] * n, pa.int64())] * 4]
-        return pa.RecordBatch.from_arrays(columns, names=exactdup.RUN)
+        fields = [pa.field(x, c.type, nullable=x != "n") for x, c in zip(exactdup.RUN, columns)]  # as Spark sends a literal
+        return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     a, b = b"\x01" * 32, b"\xf0" * 32
     out = pa.Table.from_batches(exactdup.merge_stream(iter([batch([a, a]), batch([a, b]), batch([b])]), "min"))
