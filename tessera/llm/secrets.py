@@ -2,12 +2,18 @@
 
 Patterns find assignments of named secrets, access keys and long hex strings in whole texts.  Beside them, the value of
 any credential-like assignment (``pwd``, ``passphrase``, ``auth``, ``client_secret``, ``bearer`` and such) is cut by
-dynamic programming into the segments that a guesser would need the fewest tries for: common words, dates,
-repeats, keyboard walks, and brute-force characters.  A value whose least cost is at least ``min_guesses`` (as a
-power of ten) is reported as kind ``guess``; ``password: changeme`` is not.
+dynamic programming into the segments that a guesser would need the fewest tries for: words, dates,
+repeats, keyboard walks, and brute-force characters.  The cut is the minimum over all segmentations: every part of a run is
+offered as a repeat or walk, every form of a date, and a word as it stands and with look-alike signs undone.  A value whose least cost is at
+least ``min_guesses`` (as a power of ten) is reported as kind ``guess``; ``password: changeme`` is not.
 
-Defined cases: null text counts as empty; each row gives a result row, repeated or not; spans are code points; very
-long texts and values are read whole, in linear time.
+A word's guesses are its rank: ``WORDS`` come first, a seed of usual passwords, and then the words of the corpus by the
+number of documents that hold them (``ranked_words``, counted over all documents; a guesser's dictionary has
+``dictionary_size`` words, a parameter of the model).  A caller can pass any other table of words.
+
+Defined cases: null text counts as empty; each row gives a result row, repeated or not, null identifiers included; spans are
+code points; of equal costs the segmentation found first counts, which changes no cost; very long texts and values are read whole, in linear
+time; an empty table gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import mapped, table, utf8
+from .base import lower_az, mapped, table, utf8
 
 KINDS = ["assign", "access", "hex", "guess"]
 
@@ -45,7 +51,7 @@ _CONTEXT = re.compile(
 )
 _TRIM = "\"',;.)]}>"
 
-#: Common words of passwords, in order of use; a caller can give a longer list.
+#: Usual passwords and their parts, in order of use: the first ranks of every dictionary.
 WORDS = (
     "password pass word admin root user login welcome letmein qwerty monkey dragon master shadow sunshine princess "
     "football baseball iloveyou love trustno superman batman michael jordan hunter soccer charlie george computer "
@@ -60,7 +66,35 @@ NEXT = {(a, b) for row in ROWS for x, y in zip(row, row[1:]) for a, b in ((x, y)
     (a, b) for up, low in zip(ROWS, ROWS[1:]) for x, y in zip(up, low) for a, b in ((x, y), (y, x))
 }
 LEET = str.maketrans("013457@$", "oieastas")
-DATE = re.compile(r"(?:(?:19|20)\d\d[-/.]?(?:0\d|1[0-2])[-/.]?(?:[0-2]\d|3[01])|(?:[0-2]\d|3[01])[-/.]?(?:0\d|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d)")
+_YEAR, _MONTH, _DAY, _SEP = r"(?:19|20)\d\d", r"(?:0\d|1[0-2])", r"(?:[0-2]\d|3[01])", r"[-/.]?"
+DATES = [re.compile(x) for x in (f"{_YEAR}{_SEP}{_MONTH}{_SEP}{_DAY}", f"{_DAY}{_SEP}{_MONTH}{_SEP}{_YEAR}", _YEAR)]
+LEAST_RUN = 3
+
+
+class RunCosts:
+    """Least best[i] + log10(end - i) over the starts i of parts of a run that end here.
+
+    A logarithm's lead shrinks: once an earlier start is no dearer than a later one, it stays so, and an earlier start that
+    is dearer to reach is never cheaper.  So the starts that can still win are few, in rising order of their cost.
+    """
+
+    def __init__(self) -> None:
+        self.starts: list[tuple[int, float]] = []
+
+    def add(self, start: int, cost: float) -> None:
+        while self.starts and self.starts[-1][1] >= cost:
+            self.starts.pop()
+        self.starts.append((start, cost))
+
+    def least(self, end: int) -> tuple[float, int]:
+        best, kept = (math.inf, 0), []
+        for start, cost in self.starts:
+            total = cost + math.log10(end - start)
+            if total < best[0]:
+                best = (total, start)
+                kept.append((start, cost))
+        self.starts = kept
+        return best
 
 
 class GuessCost:
@@ -73,6 +107,31 @@ class GuessCost:
     def __call__(self, value: str) -> float:
         return self.segments(value)[0]
 
+    def word(self, value: str, low: str, plain: str) -> float:
+        """Cost of a value as one word: by rank, dearer with capitals, dearer with look-alike signs."""
+        cased = 0.3 + (0.0 if value == low else 0.6)
+        own, other = self.rank.get(low), self.rank.get(plain) if plain != low else None
+        costs = [math.log10(own + 1) + cased] if own else []
+        return min([*costs, math.log10(other + 1) + cased + 0.6] if other else [*costs, math.inf])
+
+    @staticmethod
+    def per_character(value: str) -> float:
+        classes = (str.islower, 26), (str.isupper, 26), (str.isdigit, 10)
+        size = sum(k for f, k in classes if any(map(f, value))) + 33 * any(not c.isalnum() for c in value)
+        return math.log10(max(size, 10))
+
+    @staticmethod
+    def repeat(brute: float, length: int) -> float:
+        return brute + 0.3 + math.log10(length)
+
+    @staticmethod
+    def walk(length: int) -> float:
+        return math.log10(47 * 4) + 0.3 + math.log10(length)
+
+    @staticmethod
+    def date(length: int) -> float:
+        return math.log10(365 * 120 if length > 4 else 120) + 0.3
+
     def segments(self, value: str) -> tuple[float, list[tuple[str, int, int]]]:
         n = len(value)
         low = value.lower() if value.isascii() else value
@@ -85,32 +144,34 @@ class GuessCost:
                 walk[i] = walk[i - 1] + 1
         dates: dict[int, list[int]] = {}
         for i in range(n):
-            if value[i].isdigit() and (m := DATE.match(value, i)):
-                dates.setdefault(m.end(), []).append(i)
-        classes = (str.islower, 26), (str.isupper, 26), (str.isdigit, 10)
-        size = sum(k for f, k in classes if any(map(f, value))) + 33 * any(not c.isalnum() for c in value)
-        brute = math.log10(max(size, 10))
+            if value[i].isdigit():
+                for form in DATES:
+                    if m := form.match(value, i):
+                        dates.setdefault(m.end(), []).append(i)
+        brute = self.per_character(value)
         best, back = [0.0] + [math.inf] * n, [("", 0)] * (n + 1)
 
-        def offer(end: int, start: int, cost: float, kind: str) -> None:
-            total = best[start] + cost
+        def offer(end: int, start: int, total: float, kind: str) -> None:
             if total < best[end] - 1e-12:
                 best[end], back[end] = total, (kind, start)
 
+        repeats, walks = RunCosts(), RunCosts()
         for j in range(1, n + 1):
-            offer(j, j - 1, brute, "brute")
+            offer(j, j - 1, best[j - 1] + brute, "brute")
             for i in range(max(0, j - self.longest), j - 1):
-                raw, word = low[i:j], plain[i:j]
-                rank = self.rank.get(raw) or self.rank.get(word)
-                if rank:
-                    cased = 0.0 if value[i:j] == raw else 0.6
-                    offer(j, i, math.log10(rank + 1) + cased + (0.0 if raw == word else 0.6) + 0.3, "word")
-            if repeat[j - 1] >= 3:
-                offer(j, j - repeat[j - 1], brute + math.log10(repeat[j - 1]) + 0.3, "repeat")
-            if walk[j - 1] >= 3:
-                offer(j, j - walk[j - 1], math.log10(47 * 4 * walk[j - 1]) + 0.3, "walk")
+                offer(j, i, best[i] + self.word(value[i:j], low[i:j], plain[i:j]), "word")
+            for kind, run, costs, fixed in (
+                ("repeat", repeat[j - 1], repeats, self.repeat(brute, 1)),
+                ("walk", walk[j - 1], walks, self.walk(1)),
+            ):
+                if run == 1:
+                    costs.starts.clear()
+                if run >= LEAST_RUN:
+                    costs.add(j - LEAST_RUN, best[j - LEAST_RUN])
+                    total, i = costs.least(j)
+                    offer(j, i, total + fixed, kind)
             for i in dates.get(j, ()):
-                offer(j, i, math.log10(365 * 120 if j - i > 4 else 120) + 0.3, "date")
+                offer(j, i, best[i] + self.date(j - i), "date")
         out, j = [], n
         while j:
             kind, i = back[j]
@@ -122,6 +183,15 @@ class GuessCost:
         return best[n], out[::-1]
 
 
+def ranked_words(docs: DataFrame, text_col: str = "text", dictionary_size: int = 20_000) -> list[str]:
+    """A guesser's dictionary: WORDS, then the words of 4 to 20 letters that most documents hold, over all of them."""
+    words = F.regexp_extract_all(lower_az(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z]{4,}+"), F.lit(0))
+    found = docs.select(F.explode(F.array_distinct(words)).alias("word")).where(F.length("word") <= 20)
+    counts = found.groupBy("word").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "word").limit(dictionary_size)
+    return list(dict.fromkeys([*WORDS, *(r.word for r in top.toLocalIterator())]))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the fixed patterns."""
     out, low = [], text.lower()
@@ -183,4 +253,5 @@ def scan(
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, words=ranked_words(docs)).withColumnRenamed("id", "doc_id")

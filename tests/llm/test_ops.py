@@ -3,6 +3,7 @@
 import hashlib
 import heapq
 import itertools
+import math
 import random
 import re
 from collections import defaultdict
@@ -167,6 +168,47 @@ def test_secrets(spark):
     assert "guess" in got[16].spans and got[17].n_guess == 0
 
 
+def brute_cost(g, value):
+    """Least cost over all segmentations, each segment by every kind it can be."""
+    low = value.lower()
+    plain = low.translate(secrets.LEET)
+    each = g.per_character(value)
+
+    def one(i, j):
+        x, n = value[i:j], j - i
+        costs = [n * each, g.word(x, low[i:j], plain[i:j]) if n > 1 else math.inf]
+        if n >= 3 and len(set(x)) == 1:
+            costs.append(g.repeat(each, n))
+        if n >= 3 and all(p in secrets.NEXT for p in zip(low[i:j], low[i + 1 : j])):
+            costs.append(g.walk(n))
+        d = x.replace("-", "").replace("/", "").replace(".", "")
+        if re.fullmatch(r"(19|20)\d\d", x):
+            costs.append(g.date(4))
+        if re.fullmatch(r"\d{4}[-/.]?\d\d[-/.]?\d\d", x) and d[:2] in ("19", "20") and d[4:6] <= "12" and d[6:] <= "31":
+            costs.append(g.date(n))
+        if re.fullmatch(r"\d\d[-/.]?\d\d[-/.]?\d{4}", x) and d[4:6] in ("19", "20") and d[2:4] <= "12" and d[:2] <= "31":
+            costs.append(g.date(n))
+        return min(costs)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + one(i, j) for i in range(j)))
+    return best[-1]
+
+
+def test_guess_costs_are_least():
+    g, r = secrets.GuessCost(), random.Random(13)
+    parts = ["master", "Dragon", "p@ss", "w0rd", "qwerty", "tyui", "asdfgf", "aaaa", "aaaaaaaa", "1111", "1990", "2011-04-12", "31122019",
+             "19991231", "x", "7", "Zq", "zzz", "poiu", "password", "20202020", "1234567"]
+    values = ["".join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(400)]
+    values += ["".join(r.choice("aab1q") for _ in range(r.randint(1, 14))) for _ in range(400)]
+    for v in [*values, "mastertyuiop", "aaaaaaaaaamaster"]:
+        cost, segments = g.segments(v)
+        assert abs(cost - brute_cost(g, v)) < 1e-9, v
+        assert "".join(v[a:b] for _, a, b in segments) == v
+    assert g("mastertyuiop") < 5
+
+
 def test_guess_costs():
     g = secrets.GuessCost()
     assert g("password") < g("passwore") < g("pgsswzre")
@@ -174,11 +216,19 @@ def test_guess_costs():
     assert [s[0] for s in g.segments("password1990")[1]] == ["word", "date"]
     assert g("P@ssw0rd") < g("Pxssw7rd")
     assert g("04dbebab91ab85687d33eeaaf9ac") > 20
-    cost, segments = g.segments("dragonqwertyaaaa2011x!")
-    assert "".join("dragonqwertyaaaa2011x!"[a:b] for _, a, b in segments) == "dragonqwertyaaaa2011x!"
-    # Appending never gets cheaper than the best prefix alone, and a join never dearer than its parts.
-    for a, b in itertools.product(["monkey", "zzzz", "k3J"], repeat=2):
-        assert g(a + b) <= g(a) + 6 * 2 + g(b)
+    assert g("a" * 100_000) < 7 and g("qwerty" * 5_000) > 100
+
+
+def test_ranked_words(spark):
+    """Ranks are the numbers of documents; a corpus word is a cheap guess."""
+    texts = [*["zebrafish Zebrafish quokka"] * 3, *["zebrafish lemur"] * 2, "lemur quokka lemur", None, "abc x" + "y" * 30]
+    words = secrets.ranked_words(frame(spark, texts), dictionary_size=3)
+    assert words[: len(secrets.WORDS)] == list(dict.fromkeys(secrets.WORDS)) and words[-3:] == ["zebrafish", "quokka", "lemur"]
+    df = frame(spark, ["pwd: zebrafishquokka"]).selectExpr("*", "1 id", "'x' spans")
+    assert [r.n_guess for r in secrets.scan(df).collect()] == [1] and [r.n_guess for r in secrets.scan(df, words=words).collect()] == [0]
+    assert secrets.scan(df.limit(0)).count() == 0 and secrets.ranked_words(df.limit(0)) == list(dict.fromkeys(secrets.WORDS))
+    rows = spark.createDataFrame([(None, "AKIA" + "A" * 16), (1, "x"), (1, "x")], "doc_id long, text string")
+    assert sorted((str(r.id), r.n_access) for r in secrets.scan(rows).collect()) == [("1", 0), ("1", 0), ("None", 1)]
 
 
 # ---- personal data ---------------------------------------------------------------------------------------------
