@@ -7,15 +7,18 @@ position that holds it is a candidate; the length and positional bounds ask that
 place; then the window's words are compared one by one over the item-sized span.  All words inside an
 occurrence are hit.
 
-The benchmark is the stated query set, and goes to the tasks in blocks of bounded size (``block_words``), so that the
-text is never shuffled.  With several blocks, a document's hit spans are brought together by its row number.
-
-Two passes read the corpus: one counts the benchmark's shingles (partial counts per partition, summed by Spark),
-the other finds candidates and verifies them.
+The benchmark is the stated query set, and goes to the tasks in blocks of bounded size, so that the
+text is never shuffled.  A block is sorted arrays of shingle codes and word numbers and a dictionary of its distinct words;
+it ends when these reach ``block_bytes``, counted exactly as words are added (one item more at most).  Two passes read the corpus for
+each block: one counts the block's shingles (partial counts per partition, summed by Spark), the other finds candidates and
+verifies them.  With several blocks the texts are staged once with row numbers, and a document's hit spans are brought together
+by its row number; a block of 64 MB holds some 2 to 3 million benchmark words.
 
 Defined cases: null or empty text has no words and is not contaminated; a null or wordless item has no window; repeated
 documents each give a row; items with a repeated identifier count once if any occurs, a null item identifier is
-written as an empty string; an empty benchmark leaves all documents clean; an empty corpus gives an empty table.
+written as an empty string; windows that several items share hit for each of them; equally rare shingles go by place; very long texts
+are read whole, a slice of bounded bytes at a time; an empty benchmark leaves all documents clean; an empty corpus gives an
+empty table; other columns, whatever their names, are not read, and kept by ``clean_rows``.
 """
 
 from __future__ import annotations
@@ -34,52 +37,83 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Index:
-    """Windows of one block of items, by prefix token."""
+    """Windows of one block of items, by prefix token; arrays of numbers beside one dictionary of distinct words."""
+
+    #: Bytes of a word place: number, shingle code and its windows, start, length, owner and prefix of a window.
+    PLACE_BYTES = 40
+    #: Bytes of a dictionary entry beside the word itself.
+    ENTRY_BYTES = 110
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
+    def __init__(self, window: int):
+        self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        self.items, self.windows = [], {}
-        for item_id, text in items:
-            words = alnum_words(text)
-            if not words:
-                continue
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words)
-            self.items.append(item_id)
-            for i in range(max(1, len(ids) - window + 1)):
-                self.windows.setdefault(ids[i : i + window], set()).add(len(self.items) - 1)
-        #: shingle -> number, by shingle length (items under five words are one shingle).
-        self.shingles: dict[tuple[int, ...], int] = {}
-        for w in self.windows:
-            for s in self.of(w):
-                self.shingles.setdefault(s, len(self.shingles))
-
-    @staticmethod
-    def of(w: tuple[int, ...]) -> list[tuple[int, ...]]:
-        k = min(SHINGLE, len(w))
-        return [w[i : i + k] for i in range(len(w) - k + 1)]
-
-    def tables(self) -> None:
-        """Sorted shingle codes of each length, for search in whole arrays of words."""
-        self.codes = {}
-        for k in {len(s) for s in self.shingles}:
-            own = [(s, n) for s, n in self.shingles.items() if len(s) == k]
-            code = roll(np.array([s for s, _ in own], dtype=np.int64).reshape(-1), k)[::k]
-            order = np.argsort(code, kind="stable")
-            self.codes[k] = (code[order], np.array([n for _, n in own])[order])
-
-    def prefix(self, counts: dict[int, int]) -> None:
-        """Choose each window's rarest shingle; ties by the shingle's number."""
-        self.tables()
-        self.by_prefix: dict[int, list[tuple[int, tuple[int, ...], set[int]]]] = {}
-        for w, owners in self.windows.items():
-            numbers = [self.shingles[s] for s in self.of(w)]
-            place = min(range(len(numbers)), key=lambda i: (counts.get(numbers[i], 0), numbers[i], i))
-            self.by_prefix.setdefault(numbers[place], []).append((place, w, owners))
-
-    def find(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(position, shingle number) of the benchmark's shingles among a document's words."""
-        known = ids >= 0
-        for k, (codes, numbers) in self.codes.items():
+        self.items: list[str] = []
+        self._ids: list[np.ndarray] = []
+        self.bytes = 0
+
+    def add(self, item_id: str, text: str | None) -> None:
+        words = alnum_words(text)
+        if not words:
+            return
+        known = self.vocabulary
+        for w in words:
+            if w not in known:
+                known[w] = len(known)
+                self.bytes += self.ENTRY_BYTES + len(w)
+        self._ids.append(np.fromiter((known[w] for w in words), dtype=np.int32, count=len(words)))
+        self.items.append(item_id)
+        self.bytes += self.PLACE_BYTES * len(words)
+
+    def close(self) -> Index:
+        """Shingles of all items, by length: sorted distinct codes (items under five words are one shingle)."""
+        size = np.array([len(i) for i in self._ids], dtype=np.int64)
+        first = np.concatenate([[0], np.cumsum(size)])
+        self.tokens = np.concatenate([*self._ids, np.zeros(0, dtype=np.int32)])
+        self._ids = []
+        # A window's first word and number of words, and its item.
+        n_windows = np.maximum(size - self.window + 1, 1) if len(size) else size
+        owner = np.repeat(np.arange(len(size)), n_windows)
+        offset = np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(n_windows)])[:-1], n_windows)
+        self.at = (first[:-1][owner] + offset).astype(np.int64)
+        self.words = np.minimum(size[owner], self.window).astype(np.int32)
+        self.owner = owner.astype(np.int32)
+        self.codes: dict[int, np.ndarray] = {}
+        self.base: dict[int, int] = {}
+        total = 0
+        for k in sorted(set(np.minimum(self.words, SHINGLE).tolist())):
+            inside = np.minimum(self.words, SHINGLE) == k
+            codes = roll(self.tokens, k)
+            if k < SHINGLE:
+                codes = codes[self.at[inside]]
+            self.codes[k] = np.unique(codes)
+            self.base[k] = total
+            total += len(self.codes[k])
+        self.n_shingles = total
+        return self
+
+    def prefix(self, counts: np.ndarray) -> None:
+        """Choose each window's rarest shingle; ties by place.  Windows are then sorted by it."""
+        length = np.minimum(self.words, SHINGLE)
+        chosen, place = np.zeros(len(self.at), dtype=np.int64), np.zeros(len(self.at), dtype=np.int32)
+        for k, codes in self.codes.items():
+            rows = np.flatnonzero(length == k)
+            of = self.base[k] + np.searchsorted(codes, roll(self.tokens, k))
+            of = np.minimum(of, self.n_shingles - 1)  # codes across two items, which no window asks for
+            least = np.full(len(rows), np.iinfo(np.int64).max)
+            for step in range(int((self.words[rows] - k).max(initial=0)) + 1):
+                ok = step <= self.words[rows] - k
+                number = of[np.where(ok, self.at[rows] + step, self.at[rows])]
+                better = ok & (counts[number] < least)
+                least[better], chosen[rows[better]], place[rows[better]] = counts[number[better]], number[better], step
+        order = np.argsort(chosen, kind="stable")
+        self.at, self.words, self.owner, self.place = (x[order] for x in (self.at, self.words, self.owner, place))
+        #: Windows of shingle s are numbers by_shingle[s] up to by_shingle[s + 1].
+        self.by_shingle = np.searchsorted(chosen[order], np.arange(self.n_shingles + 1))
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and numbers of the benchmark's shingles among a document's words."""
+        known, places, numbers = ids >= 0, [], []
+        for k, codes in self.codes.items():
             n = len(ids) - k + 1
             if n <= 0 or not len(codes):
                 continue
@@ -92,30 +126,41 @@ class Index:
             code = np.zeros(len(at), dtype=np.uint64)
             for j in range(k):
                 code = mixed(code, ids[at + j])
-            lo = np.searchsorted(codes, code, "left")
-            hi = np.searchsorted(codes, code, "right")
-            for i in np.flatnonzero(hi > lo):
-                for m in range(lo[i], hi[i]):
-                    yield int(at[i]), int(numbers[m])
+            i = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            hit = codes[i] == code
+            places.append(at[hit])
+            numbers.append(self.base[k] + i[hit])
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *places]), np.concatenate([none, *numbers])
 
     def ids_of(self, text: str | None) -> np.ndarray:
         words = alnum_words(text)
         get = self.vocabulary.get
-        return np.fromiter((get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        return np.fromiter((get(w, -1) for w in words), dtype=np.int32, count=len(words))
 
     def hits(self, ids: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
         """Spans (start, end) of occurring windows, and the items they belong to."""
-        spans, found, as_list = [], set(), None
-        for at, number in self.find(ids):
-            for place, w, owners in self.by_prefix.get(number, ()):
-                start = at - place
-                if start < 0 or start + len(w) > len(ids):  # positional and length bounds
-                    continue
-                as_list = ids.tolist() if as_list is None else as_list
-                if tuple(as_list[start : start + len(w)]) == w:
-                    spans.append((start, start + len(w)))
-                    found |= owners
-        return spans, found
+        at, number = self.find(ids)
+        spans: set[tuple[int, int]] = set()
+        found: set[int] = set()
+        lo, hi = self.by_shingle[number], self.by_shingle[number + 1]
+        todo = np.flatnonzero(hi > lo)
+        while len(todo):  # the next window of each place, so that memory is bounded by the document
+            w = lo[todo]
+            start = at[todo] - self.place[w]
+            ok = (start >= 0) & (start + self.words[w] <= len(ids))  # positional and length bounds
+            w, start = w[ok], start[ok]
+            for t in range(self.window):
+                if not len(w):
+                    break
+                here = np.minimum(t, self.words[w] - 1)
+                ok = ids[start + here] == self.tokens[self.at[w] + here]
+                w, start = w[ok], start[ok]
+            spans.update(zip(start.tolist(), (start + self.words[w]).tolist(), strict=True))
+            found.update(self.owner[w].tolist())
+            lo[todo] += 1
+            todo = todo[lo[todo] < hi[todo]]
+        return list(spans), found
 
 
 def mixed(code: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -128,7 +173,7 @@ def roll(ids: np.ndarray, k: int) -> np.ndarray:
     n = len(ids) - k + 1
     code = np.zeros(max(n, 0), dtype=np.uint64)
     for j in range(k):
-        code = mixed(code, ids[j : n + j])
+        code = mixed(code, ids[j : max(n, 0) + j])
     return code
 
 
@@ -142,42 +187,40 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, str]]]:
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_bytes: int) -> Iterator[Index]:
     """The items in blocks of bounded size, one at a time."""
-    block, size = [], 0
+    block = Index(window)
     rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), F.col(text_col).alias("t"))
     for r in rows.toLocalIterator():
-        block.append((r.i, r.t))
-        size += len(r.t or "") // 4 + 1
-        if size >= block_words:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+        block.add(r.i, r.t)
+        if block.bytes >= block_bytes:
+            yield block.close()
+            block = Index(window)
+    if block.items:
+        yield block.close()
 
 
-def counted(docs: DataFrame, items: list[tuple[str, str]], window: int) -> Index:
-    """The index of one block of items, its prefixes chosen by counts over all documents (text)."""
-    index = Index(items, window)
-    index.tables()
+def counted(docs: DataFrame, index: Index) -> Index:
+    """The index with its prefixes chosen by counts over all documents (text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = index, np.zeros(len(index.shingles) or 1, dtype=np.int64)
+        own, seen = index, np.zeros(index.n_shingles or 1, dtype=np.int64)
         for b in batches:
             for text in b.column(0):
-                for number in {n for _, n in own.find(own.ids_of(text.as_py()))}:
-                    seen[number] += 1
+                seen[np.unique(own.find(own.ids_of(text.as_py()))[1])] += 1
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["shingle", "n"])
 
-    counts = mapped(docs, count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    index.prefix({r.shingle: r.n for r in counts.toLocalIterator()})  # at most the block's own shingles
+    counts = np.zeros(index.n_shingles, dtype=np.int64)
+    for r in mapped(docs, count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts[r.shingle] = r.n  # at most the block's own shingles
+    index.prefix(counts)
     return index
 
 
-def scan(docs: DataFrame, items: list[tuple[str, str]], window: int, all_rows: bool) -> DataFrame:
+def scan(docs: DataFrame, index: Index, all_rows: bool) -> DataFrame:
     """docs (key, text) -> (key, n_words, starts, ends, items) against one block of items."""
-    index = counted(docs.select("text"), items, window)
+    index = counted(docs.select("text"), index)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = index
@@ -213,20 +256,20 @@ def contamination(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    block_words: int = 2_000_000,
+    block_bytes: int = 64 << 20,
 ) -> DataFrame:
     """(id, n_words, n_hit, n_items, item_ids, spans) for each document row; spans are word positions."""
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    blocks = blocks_of(benchmark, item_id_col, item_text_col, block_words)
-    first, second = next(blocks, []), next(blocks, None)
+    blocks = blocks_of(benchmark, item_id_col, item_text_col, window, block_bytes)
+    first, second = next(blocks, None) or Index(window).close(), next(blocks, None)
     if second is None:
-        found = scan(rows, first, window, True)
+        found = scan(rows, first, True)
     else:
         # Rows get a number of their own, as identifiers may repeat.
         rows = staged(rows.withColumn("id", F.col("key")).withColumn("key", F.monotonically_increasing_id()), "numbered")
-        parts = scan(rows, first, window, True)
+        parts = staged(scan(rows, first, True), "block_hits")
         while second is not None:
-            parts = parts.unionByName(staged(scan(rows, second, window, False), "block_hits"))
+            parts = parts.unionByName(staged(scan(rows, second, False), "block_hits"))
             second = next(blocks, None)
         found = (
             parts.groupBy("key")
@@ -267,15 +310,16 @@ def clean_rows(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
-    block_words: int = 2_000_000,
+    block_bytes: int = 64 << 20,
 ) -> DataFrame:
     """The rows that hold no benchmark window, all columns kept; nothing is shuffled."""
-    for items in blocks_of(benchmark, item_id_col, item_text_col, block_words):
-        index = counted(docs.select(F.col(text_col).alias("text")), items, window)
+    at = docs.columns.index(text_col)
+    for block in blocks_of(benchmark, item_id_col, item_text_col, window, block_bytes):
+        index = counted(docs.select(F.col(text_col).alias("text")), block)
 
         def keep(batches: Iterator[pa.RecordBatch], own: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column(b.schema.get_field_index(text_col))
+                texts = b.column(at)
                 yield b.filter(pa.array([not own.hits(own.ids_of(t.as_py()))[0] for t in texts], pa.bool_()))
 
         docs = mapped(docs, keep, docs.schema)
@@ -283,7 +327,10 @@ def clean_rows(
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold no benchmark window, with the columns they came with."""
+    """Pipeline stage: documents that hold no benchmark window, with the columns they came with.
+
+    Null and empty texts stay, repeated rows stay or go alike, the empty table stays empty.
+    """
     return clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -299,7 +346,6 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 OP1_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),

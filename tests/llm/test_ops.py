@@ -59,26 +59,49 @@ def brute_contamination(docs, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("block_words", [2_000_000, 5])
-def test_decontamination(spark, block_words):
-    items = [(1, prose(25)), (2, "short item of w1"), (3, None), (4, ""), (20, prose(12)), (100, prose(10)), (7, "w1 w2")]
-    docs = [*ODD, prose(40), prose(5) + " " + items[0][1].upper() + " " + prose(5), items[4][1], items[5][1] + "!" + items[5][1],
+@pytest.mark.parametrize("block_bytes", [64 << 20, 400])
+def test_decontamination(spark, block_bytes):
+    items = [(1, prose(25)), (30, "w1"), (31, "W1"), (2, "short item of w1"), (3, None), (4, ""), (20, prose(12)), (100, prose(10)), (7, "w1 w2")]
+    docs = [*ODD, prose(40), prose(5) + " " + items[0][1].upper() + " " + prose(5), items[6][1], items[7][1] + "!" + items[7][1],
             " ".join(items[0][1].split()[3:14]), " ".join(items[0][1].split()[3:12]), "of W1, short item of w1 w2"]
     from pyspark.sql import functions as F
 
     df = frame(spark, docs, {"n_hit": F.lit(1), "items": F.lit("x")})
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r.id: (r.n_words, r.n_hit, list(r.item_ids)) for r in decontam.contamination(df, bench, block_words=block_words).collect()}
+    got = {r.id: (r.n_words, r.n_hit, list(r.item_ids)) for r in decontam.contamination(df, bench, block_bytes=block_bytes).collect()}
     want = brute_contamination(enumerate(docs), items)
     assert got == want
     assert any(v[1] for v in want.values())
-    kept = {r.doc_id for r in decontam.clean_rows(df, bench, block_words=block_words).collect()}
+    kept = {r.doc_id for r in decontam.clean_rows(df, bench, block_bytes=block_bytes).collect()}
     assert kept == {d for d, v in want.items() if not v[1]}
     none = bench.limit(0)
     assert decontam.contamination(df, none).where("n_hit > 0").count() == 0
     assert decontam.contamination(df.limit(0), bench).count() == 0
 
 
+def test_decontamination_by_random_words(spark):
+    """Few words, so that windows repeat within items, between items and in documents."""
+    r = random.Random(17)
+    some = lambda n: " ".join(r.choice("abcd") for _ in range(n))
+    items = [(i % 25, some(r.choice([1, 2, 4, 5, 6, 9, 10, 11, 30]))) for i in range(40)]
+    docs = [some(r.randint(0, 60)) for _ in range(60)] + [items[k][1] + " x " + some(5) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.id: (x.n_words, x.n_hit, list(x.item_ids)) for x in decontam.contamination(frame(spark, docs), bench).collect()}
+    assert got == brute_contamination(enumerate(docs), items)
+
+
+def test_index_is_compact():
+    """The block's bytes are counted, and what is sent to a task is near them."""
+    import pickle
+
+    index, r = decontam.Index(10), random.Random(3)
+    for i in range(400):
+        index.add(str(i), " ".join("word%d" % r.randrange(20_000) for _ in range(500)))
+    counted = index.bytes
+    index.close().prefix(np.zeros(index.n_shingles, dtype=np.int64))
+    assert len(pickle.dumps(index)) < 1.6 * counted and counted < 12 << 20
+
+
 # ---- packing ---------------------------------------------------------------------------------------------------
 
 
