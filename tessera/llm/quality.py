@@ -6,12 +6,15 @@ the distinct words of the whole text and the shapes of its tokens (letter case,
 shares of shapes and of distinct words.  The expected grade is the sum of the tail probabilities; a document is kept if the tail
 probability of the top grade reaches ``keep_at``.
 
-Training reads a sample of labelled rows bounded by ``sample_rows`` (chosen by hash of the identifier) and runs on the driver
-over hashed features, about 2 kB a row; everything else reads and scores every document.
+Training reads a sample of labelled rows, the first by a hash of the identifier: at most ``sample_rows`` rows, and of these
+as many as hold ``sample_bytes`` of hashed features, which is what the driver gets.  Features are made and measured on the
+executors; everything else reads and scores every document.
 
 Defined cases: null and empty texts have no words and are scored by the thresholds and the share of nothing; labels with
-null in either column are not trained on; without usable labels, or with one grade only, every document is kept with
-that grade's probability; repeated rows are scored alike; texts are read whole.
+null in either column are not trained on; of several grades of one identifier the lowest counts; of several rows of
+one identifier one text is trained on, the one with the least feature hash; without usable labels, or with one grade only, every document is kept with
+that grade's probability; repeated rows are scored alike, and a tail probability equal to ``keep_at`` keeps; texts are read whole; an empty table gives
+an empty table; other columns, whatever their names, are not read, and kept by ``kept_documents``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ALNUM_WORDS, mapped, table, utf8
+from .base import ALNUM_WORDS, mapped, released, staged, table, utf8
 
 BITS = 18
 GRADES = 3
@@ -126,34 +129,54 @@ class Ordinal:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -30, 30)))
 
 
+def rated_sample(labels: DataFrame, sample_rows: int) -> DataFrame:
+    """(id, grade) of at most sample_rows identifiers, the first by hash, whatever the order of the rows."""
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
+    usable = labels.where("doc_id is not null and toxic is not null and quality is not null")
+    rated = usable.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min(grade).alias("grade"))
+    return rated.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+
+
 def train(
-    docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    sample_rows: int = 12_000,
+    sample_bytes: int = 48 << 20,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> Ordinal:
-    """Fit on at most sample_rows labelled rows; labels (doc_id, quality, toxic)."""
-    rated = labels.select(
-        F.col("doc_id").alias("__id"),
-        F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2).alias("__grade"),
-    ).where("__id is not null and toxic is not null and quality is not null")
-    n = rated.count()
-    if n > sample_rows:
-        share = int(1e9 * sample_rows / n * 0.95)
-        rated = rated.where(F.pmod(F.xxhash64("__id"), F.lit(1_000_000_000)) < share)
-    rated = rated.limit(sample_rows)  # a bound on what the driver gets, documented above
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    """Fit on a bounded sample of labelled rows; labels (doc_id, quality, toxic)."""
+    rated = staged(rated_sample(labels, sample_rows), "rated")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     # At most sample_rows rows of 12 bytes are sent to every task.
-    chosen = texts.join(F.broadcast(rated), "__id").select("__id", "__grade", "__text")
+    chosen = texts.join(F.broadcast(rated), "id").select("id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [features(t.as_py()).astype(np.int32) for t in b.column(2)]
+            marks = [crc32(r.tobytes()) << 24 | len(r) for r in rows]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int32()))], names=["id", "grade", "cols"]
+                [b.column(0), b.column(1), pa.array(marks, pa.int64()), pa.array(rows, pa.list_(pa.int32()))],
+                names=["id", "grade", "mark", "cols"],
             )
 
-    found = mapped(chosen, run, "id long, grade int, cols array<int>").toArrow()
-    found = found.sort_by([("id", "ascending"), ("grade", "ascending")])
-    rows = [r.values.to_numpy().astype(np.int64) for r in found["cols"]]
-    return Ordinal.fit(rows, found["grade"].to_numpy().astype(np.int64))
+    found = staged(mapped(chosen, run, "id long, grade int, mark long, cols array<int>"), "rated_features")
+    own = found.groupBy("id").agg(F.min("mark").alias("mark"), F.min_by(F.size("cols"), "mark").alias("n"))
+    sizes = own.select("id", "mark", "n", F.xxhash64("id").alias("order")).collect()  # at most sample_rows
+    held, keep = 0, []
+    for r in sorted(sizes, key=lambda r: (r.order, r.id)):
+        held += 4 * r.n + 16
+        if held > sample_bytes:
+            break
+        keep.append((r.id, r.mark))
+    spark = docs.sparkSession
+    kept = spark.createDataFrame(keep, "id long, mark long")
+    # Rows of one identifier and mark have equal features.
+    sample = found.join(F.broadcast(kept), ["id", "mark"]).dropDuplicates(["id"]).select("id", "grade", "cols").toArrow()
+    released(rated, found)
+    sample = sample.sort_by([("id", "ascending")])
+    rows = [r.values.to_numpy().astype(np.int64) for r in sample["cols"]]
+    return Ordinal.fit(rows, sample["grade"].to_numpy().astype(np.int64))
 
 
 def score(
@@ -175,7 +198,10 @@ def score(
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, keep_at: float = 0.5) -> DataFrame:
-    """Pipeline stage: the documents that the classifier keeps, with the columns they came with."""
+    """Pipeline stage: the documents that the classifier keeps, with the columns they came with.
+
+    Null and empty texts are scored like any other, repeated rows stay or go alike, the empty table stays empty.
+    """
     model = train(docs, table(spark, sf_dir, "labels"))
     at = docs.columns.index("text")
 

@@ -624,6 +624,61 @@ def test_quality_edges(spark):
     assert quality.score(df, quality.train(df, one)).where("kept").count() == 0
 
 
+def test_quality_fit_is_the_likelihood_optimum():
+    """The fit against the proportional-odds likelihood climbed by small steps from numeric gradients, on few features."""
+    r = np.random.default_rng(8)
+    n, k = 600, 5
+    x = r.random((n, k)) < 0.4
+    latent = x @ np.array([1.5, -1.0, 0.5, 0.0, 2.0]) + r.logistic(size=n)
+    grades = (latent > 0).astype(int) + (latent > 1.5).astype(int)
+    rows = [np.flatnonzero(v) for v in x]
+    share = np.bincount(grades, minlength=3) / n
+    weight = np.clip(1 / (3 * share), 0.5, 4.0)[grades]
+
+    def loss(p):
+        score = x @ p[:k]
+        a, b = 1 / (1 + np.exp(p[k] - score)), 1 / (1 + np.exp(p[k + 1] - score))
+        return -(weight * np.log(np.choose(grades, [1 - a, a - b, b]).clip(1e-12))).sum() / weight.sum()
+
+    p = np.array([0.0] * k + [-1.0, 1.0])
+    for _ in range(3000):
+        p -= 0.5 * np.array([(loss(p + d) - loss(p - d)) / 2e-5 for d in np.eye(k + 2) * 1e-5])
+    m = quality.Ordinal.fit(rows, grades, l2=0.0, min_chi2=0.0)
+    got = np.concatenate([m.weights[:k], m.thresholds])
+    assert loss(got) < loss(p) + 1e-3 and np.abs(got - p).max() < 0.1
+    tails = m.tails(rows)
+    assert (tails[:, 0] >= tails[:, 1]).all() and abs(tails.sum(axis=1).mean() - grades.mean()) < 0.15
+
+
+def test_quality_sample_is_bounded(spark):
+    """Rows and bytes are bounded, the order of rows plays no part, repeated identifiers are trained on once."""
+    from unittest import mock
+
+    texts = [" ".join("f%d" % ((i * 7 + j) % 900) for j in range(400)) for i in range(60)] * 2
+    rows = [(i % 60, t, 1) for i, t in enumerate(texts)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] * 2, "doc_id long, quality int, toxic int")
+    seen = []
+    with mock.patch.object(quality.Ordinal, "fit", side_effect=lambda rows, grades: seen.append((rows, grades))):
+        for some in (rows, rows[::-1]):
+            df = spark.createDataFrame(some, "doc_id long, text string, grade int")
+            quality.train(df, labels, sample_rows=40)
+            quality.train(df, labels, sample_rows=40, sample_bytes=20_000)
+    assert [len(s[0]) for s in seen] == [40, 11, 40, 11]  # a row has 400 words and a dozen shapes of four bytes
+    assert all(4 * sum(map(len, s[0])) <= 20_000 for s in (seen[1], seen[3]))
+    assert all((a == b).all() for a, b in zip(seen[0][0], seen[2][0])) and (seen[0][1] == seen[2][1]).all()
+
+
+def test_quality_rows(spark):
+    """Repeated rows, null identifiers and clashing columns pass; an empty table stays empty."""
+    rows = [(1, "a"), (1, "a"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 id", "'x' cols", "1 grade")
+    model = quality.Ordinal(np.zeros(1 << quality.BITS), np.array([-1.0, 0.0]))
+    got = quality.score(df, model).collect()
+    assert sorted(str(r.id) for r in got) == ["1", "1", "None"] and all(r.kept and r.p_good == 0.5 for r in got)
+    assert quality.score(df.limit(0), model).count() == 0
+    assert quality.kept_documents(spark, df.limit(0), SF).columns == df.columns
+
+
 # ---- line dedup ------------------------------------------------------------------------------------------------
 
 
