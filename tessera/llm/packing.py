@@ -4,26 +4,26 @@ The lengths of all documents form one histogram.  Dynamic programming over it, e
 boundaries of up to ``buckets`` buckets with the least total padding; inside a bucket, batches hold as many documents
 as fit the token budget at the bucket's padded length.
 
-The histogram that reaches the driver is bounded: every length up to 65,536 tokens has its own bin, and each octave
-above it has 1,024 bins, which keep the exact count, sum and largest length; below that length the boundaries are the
-true optimum, above it the optimum over bin edges.  No document is cut, dropped or capped: one longer
-than the budget is a batch by itself.
+The histogram that reaches the driver has a bin for each length that occurs, so the boundaries are the true optimum at any
+size.  Its size is bounded by the tokens: k different lengths add up to at least k * (k - 1) / 2 tokens, so 100 TB of text (some 2e13
+tokens) has at most 6.4 million bins of 24 bytes, and needs a document of that many tokens for each; real corpora have some ten
+thousands.  No document is cut, dropped or capped: one longer than the budget is a batch by itself.
 
 Defined cases: null and empty texts have length 0 and sit in the first bucket; rows repeated are packed
-like any other; null identifiers are packed too; an empty table gives an empty table.
+like any other; null identifiers are packed too; of boundaries with equal padding the fewer buckets win, and equal lengths are
+batched by identifier and row number; very long texts are counted whole; an empty table gives an empty table; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
 
+from array import array
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import gapless, staged, table
 
-EXACT_UP_TO = 65_536
-BINS_PER_OCTAVE = 1_024
-
-
 def best_boundaries(hist: list[tuple[int, int, int]], buckets: int) -> tuple[list[int], int]:
     """Boundaries (largest length of each bucket) and total padding, from (largest length, count, sum of lengths).
 
@@ -40,10 +40,10 @@ def best_boundaries(hist: list[tuple[int, int, int]], buckets: int) -> tuple[lis
         n.append(n[-1] + count)
         s.append(s[-1] + total)
     cost = [0] + [length[j - 1] * n[j] - s[j] for j in range(1, m + 1)]
-    layers, best, best_k = [[0] * (m + 1)], cost[m], 1
+    layers, best, best_k = [array("i", [0]) * (m + 1)], cost[m], 1
     prev = cost
     for k in range(2, min(buckets, m) + 1):
-        cur, back, hull, head = [0] * (m + 1), [0] * (m + 1), [], 0
+        cur, back, hull, head = [0] * (m + 1), array("i", [0]) * (m + 1), [], 0
         for j in range(1, m + 1):
             i = j - 1
             if i >= k - 1:
@@ -74,13 +74,6 @@ def best_boundaries(hist: list[tuple[int, int, int]], buckets: int) -> tuple[lis
     return out[::-1], best
 
 
-def length_bin(n: F.Column) -> F.Column:
-    """The bin of a length: itself up to EXACT_UP_TO, else the upper end of its part of an octave."""
-    octave = F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")))
-    step = F.greatest(F.pow(F.lit(2.0), octave) / BINS_PER_OCTAVE, F.lit(1.0)).cast("long")
-    return F.when(n <= EXACT_UP_TO, n).otherwise(F.ceil(n / step) * step).cast("long")
-
-
 def pack(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -94,20 +87,23 @@ def pack(
     ``n_tokens`` is any column expression that counts a row's tokens; runs of non-space characters by default.
     """
     count = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(r"\S+")) if n_tokens is None else n_tokens
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(count, F.lit(0)).cast("long").alias("n_tokens"))
-    rows = staged(rows, "token_counts")
-    hist = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(
-        F.max("n_tokens").alias("top"), F.count("*").alias("n"), F.sum("n_tokens").alias("total")
+    # The row number tells repeated rows apart.
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.coalesce(count, F.lit(0)).cast("long").alias("n_tokens"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    hist = [(r.top, r.n, r.total) for r in hist.toLocalIterator()]
+    rows = staged(rows, "token_counts")
+    hist = rows.groupBy("n_tokens").agg(F.count("*").alias("n"))
+    hist = [(r.n_tokens, r.n, r.n * r.n_tokens) for r in hist.toLocalIterator()]
     bounds, _ = best_boundaries(hist, buckets)
     bucket, tokens = F.lit(0), F.lit(bounds[0] if bounds else 0).cast("long")
     for i in range(1, len(bounds)):
         over = F.col("n_tokens") > bounds[i - 1]
         bucket, tokens = F.when(over, i).otherwise(bucket), F.when(over, F.lit(bounds[i]).cast("long")).otherwise(tokens)
     # `when` chains read outside in: the last boundary passed decides.
-    rows = rows.select("id", "n_tokens", bucket.cast("int").alias("bucket"), tokens.alias("bucket_tokens"))
-    ranked = gapless(rows, "bucket", ["id", "n_tokens"], "rank", sum(h[1] for h in hist))
+    rows = rows.select("id", "n_tokens", "row", bucket.cast("int").alias("bucket"), tokens.alias("bucket_tokens"))
+    ranked = gapless(rows, "bucket", ["id", "n_tokens", "row"], "rank", sum(h[1] for h in hist))
     fit = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.greatest("bucket_tokens", F.lit(1))))
     return ranked.select(
         "id",

@@ -148,12 +148,16 @@ def test_packing(spark):
     assert packing.pack(frame(spark, texts).limit(0)).count() == 0
 
 
-def test_long_lengths_share_bins(spark):
+def test_packing_is_optimal_for_long_texts_too(spark):
+    """Lengths of any size have bins of their own, repeated rows and null identifiers are packed, columns may clash."""
+    ns = [0, 5, 65536, 65537, 70000, 70001, 10**9, 10**9 + 1]
+    df = spark.createDataFrame([(n if n else None, n) for n in ns] + [(5, 5)] * 30, "doc_id long, n long").selectExpr("*", "1 id", "2 row", "3 bucket")
     from pyspark.sql import functions as F
 
-    ns = [0, 5, 65536, 65537, 70000, 70001, 10**9]
-    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", packing.length_bin(F.col("n")).alias("b")).collect()
-    assert all(r.b >= r.n and (r.n > 65536 or r.b == r.n) and r.b <= r.n * 1.001 + 1 for r in got)
+    got = packing.pack(df, text_col="n", buckets=3, token_budget=20, n_tokens=F.col("n")).collect()
+    lengths = [r.n_tokens for r in got]
+    assert sorted(lengths) == sorted([*ns, *[5] * 30]) and sum(r.padding for r in got) == brute_padding(lengths, 3)
+    assert len({(r.bucket, r.batch, r.slot) for r in got}) == len(got)
 
 
 def test_gapless_with_a_hot_group(spark):
@@ -490,23 +494,47 @@ def test_sketch_recall(size):
 # ---- sharding --------------------------------------------------------------------------------------------------
 
 
-def test_shards_are_lpt(spark):
-    texts = [*ODD, *[prose(RNG.randint(1, 80)) for _ in range(80)], *["same text here"] * 60]
-    got = {r.id: r for r in sharding.shard_rows(frame(spark, texts), 5).collect()}
+def test_size_classes_are_plain_lpt():
+    """Loads by classes equal those of a heap over single groups."""
+    for seed in range(300):
+        r = random.Random(seed)
+        shards = r.randint(1, 7)
+        classes = {r.choice([1, 2, 3, 7, 50, 51, 1000]) + r.randint(0, 2): r.choice([1, 1, 2, 5, 40]) for _ in range(r.randint(0, 6))}
+        heap = [(0, s) for s in range(shards)]
+        for size in sorted(classes, reverse=True):
+            for _ in range(classes[size]):
+                load, s = heapq.heappop(heap)
+                heapq.heappush(heap, (load + size, s))
+        upto = sharding.lpt(list(classes.items()), shards)
+        loads = [0] * shards
+        for size, c in upto.items():
+            assert c[-1] == classes[size]
+            for s in range(shards):
+                loads[s] += size * (c[s] - (c[s - 1] if s else 0))
+        assert loads == [load for _, load in sorted((s, load) for load, s in heap)]
+    assert sharding.takes([0, 10**12], 3, 10**9) == [10**9, 0]
+
+
+@pytest.mark.parametrize("sent", [25_000, 0])
+def test_shards_are_lpt(spark, monkeypatch, sent):
+    monkeypatch.setattr(sharding, "SENT_CLASSES", sent)
+    texts = [*ODD, *[prose(RNG.randint(1, 80)) for _ in range(80)], *["same text here"] * 60, *["r%02d" % i for i in range(40)]]
+    df = spark.createDataFrame([*rows_of(texts), (3, texts[3], "en", "s", 1)], SCHEMA).selectExpr("*", "1 id", "2 key", "3 shard", "4 row")
+    rows = sharding.shard_rows(df, 5).collect()
+    got = {r.id: r for r in rows}
     groups = defaultdict(list)
-    for i, t in enumerate(texts):
-        groups[t or ""].append(i)
+    for i, t in enumerate([*texts, texts[3]]):
+        groups[t or ""].append(i if i < len(texts) else 3)
     sizes = {t: len(v) * (len(t.encode()) + 1) for t, v in groups.items()}
-    key = {t: int(hashlib.sha256(t.encode()).hexdigest()[:15], 16) for t in groups}
-    heap = [(0, s) for s in range(5)]
-    for t in sorted(groups, key=lambda t: (-sizes[t], key[t])):
+    heap, loads = [(0, s) for s in range(5)], [0] * 5
+    for t in sorted(groups, key=lambda t: -sizes[t]):
         load, s = heapq.heappop(heap)
-        assert {got[i].shard for i in groups[t]} == {s}
+        assert len({got[i].shard for i in groups[t]}) == 1
+        loads[got[groups[t][0]].shard] += sizes[t]
         heapq.heappush(heap, (load + sizes[t], s))
+    assert loads == [load for _, load in sorted((s, load) for load, s in heap)]
     for s in range(5):
-        assert sorted(r.slot for r in got.values() if r.shard == s) == list(range(sum(r.shard == s for r in got.values())))
-    bundled = sharding.shard_rows(frame(spark, texts), 5, items=8).collect()
-    assert all(len({r.shard for r in bundled if (texts[r.id] or "") == t}) == 1 for t in groups)
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
     assert sharding.shard_rows(frame(spark, texts).limit(0), 5).count() == 0
 
 
