@@ -8,11 +8,15 @@ listed exactly if the first level that rejects it has an even number (or if the
 odd): exact membership for every key of the universe, and no join of pages with rules.
 
 A level is an array of 64-bit words, built by ``bit_or`` over hashed positions and planned as a constant.  Its size is
-bounded by MAX_BITS (8 MiB); a list of over MAX_BITS / 8 keys per action is refused rather than sent to each task.
+bounded by MAX_BITS (8 MiB).  A list of over MAX_BITS / 8 keys is dealt to parts by key hash, each with a cascade of its own over
+its part of the universe; pages are asked part by part, so no task holds more than one part's levels, and what the parts
+find is brought together by page.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, no rule and the default verdict; rules
 with null host or path are ignored; a rule listed twice counts once; a key listed as both allow and block allows;
-of rules that fit, the longest host-and-path string wins, then the longer host.  Repeated pages each give a row.
+of rules that fit, the longest host-and-path string wins, then the longer host.  Repeated pages each give a row, null
+identifiers too; very long urls are read whole; an empty table gives an empty table; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -109,20 +113,19 @@ def build_level(keys: DataFrame, number: int, n: int) -> Level:
 
 
 class Cascade:
-    """Exact membership in ``listed`` for every key of ``universe``."""
+    """Exact membership in ``listed`` for every key of ``universe``.
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, most_levels: int = 40):
+    Levels have hash functions of their own, so each passes a small share of what the one before passed wrongly, and they end.
+    """
+
+    def __init__(self, listed: DataFrame, universe: DataFrame):
         self.levels: list[Level] = []
         listed = staged(listed.distinct(), "listed_keys")
         n = listed.count()
-        if n * 8 > MAX_BITS:
-            raise ValueError(f"{n} listed keys need more than {MAX_BITS} bits; split the list")
         wrong, other = listed, None
         while n:
             level = build_level(wrong, len(self.levels) + 1, n)
             self.levels.append(level)
-            if len(self.levels) > most_levels:
-                raise RuntimeError("the cascade does not converge")
             if other is None:  # the universe is streamed once; what passes level 1 and is not listed is few
                 passed = universe.where(level.passes(F.col("key"))).distinct()
                 other = staged(passed.join(listed, "key", "left_anti"), "false_positives")
@@ -140,9 +143,17 @@ class Cascade:
 
 
 def judge(
-    pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow"
+    pages: DataFrame,
+    rules: DataFrame,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    default: str = "allow",
+    part_keys: int = MAX_BITS // 8,
 ) -> DataFrame:
-    """(id, host, path, rule, verdict) for each page.  rules: action ('allow', 'block'), host, path."""
+    """(id, host, path, rule, verdict) for each page.  rules: action ('allow', 'block'), host, path.
+
+    part_keys: listed keys that one cascade holds.
+    """
     rules = rules.where("host is not null and path is not null and action in ('allow', 'block')")
     rules = rules.select("action", lower_az(F.col("host")).alias("host"), "path")
     # A few distinct lengths at most; each is one more key to ask for a url.
@@ -151,19 +162,41 @@ def judge(
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     if not lengths:
         return rows.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keys = rules.select("action", key_of(F.col("host"), F.col("path")).alias("key"))
+    parts = max(1, -(-rules.count() // part_keys))
+    if parts > 1:
+        rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "urls")
     rows = rows.withColumn("__keys", candidate_keys(F.col("host"), F.col("path"), lengths))
     universe = rows.select(F.explode("__keys.key").alias("key"))
-    keys = rules.select("action", key_of(F.col("host"), F.col("path")).alias("key"))
-    of = {a: Cascade(keys.where(F.col("action") == a).select("key"), universe) for a in ("allow", "block")}
-    fit = F.filter("__keys", lambda k: of["allow"].has(k["key"]) | of["block"].has(k["key"]))
-    rows = rows.withColumn("__hit", F.get(fit, F.lit(0)))
-    verdict = F.when(of["allow"].has(F.col("__hit.key")), "allow").otherwise("block")
+
+    def part_of(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(parts))
+
+    def hit(part: int) -> Column:
+        """The winner of the keys of one part, as (size, host_size, key, rule, allowed)."""
+        own = universe.where(part_of(F.col("key")) == part) if parts > 1 else universe
+        listed = keys.where(part_of(F.col("key")) == part) if parts > 1 else keys
+        of = {a: Cascade(listed.where(F.col("action") == a).select("key"), own) for a in ("allow", "block")}
+        mine = F.filter("__keys", lambda k: part_of(k["key"]) == part) if parts > 1 else F.col("__keys")
+        first = F.get(F.filter(mine, lambda k: of["allow"].has(k["key"]) | of["block"].has(k["key"])), F.lit(0))
+        fields = [first[c].alias(c) for c in ("size", "host_size", "key", "rule")]
+        return F.when(first.isNotNull(), F.struct(*fields, of["allow"].has(first["key"]).alias("allowed")))
+
+    if parts == 1:
+        rows = rows.withColumn("__hit", hit(0))
+    else:
+        found = [staged(rows.select("row", hit(p).alias("hit")).where("hit is not null"), "url_hits") for p in range(parts)]
+        best = found[0]
+        for more in found[1:]:
+            best = best.unionByName(more)
+        best = best.groupBy("row").agg(F.min("hit").alias("__hit"))
+        rows = rows.join(best, "row", "left")
     return rows.select(
         "id",
         "host",
         "path",
         F.col("__hit.rule").alias("rule"),
-        F.when(F.col("__hit").isNull(), F.lit(default)).otherwise(verdict).alias("verdict"),
+        F.when(F.col("__hit").isNull(), default).when(F.col("__hit.allowed"), "allow").otherwise("block").alias("verdict"),
     )
 
 

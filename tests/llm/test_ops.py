@@ -594,17 +594,20 @@ def test_merge_refuses_an_unsorted_run():
 # ---- url filter ------------------------------------------------------------------------------------------------
 
 
-def test_url_filter(spark):
+@pytest.mark.parametrize("part_keys", [1 << 23, 3])
+def test_url_filter(spark, part_keys):
     hosts = ["example.org", "EXAMPLE.org", "a.b.example.org", "notexample.org", "org", "com", "x.com", "net", ""]
     paths = ["", "/", "/es/", "/es", "/en/1", "/en/12?q=/es/", "/fr/a#b", "/de/x", "/é/ü", "?/es/", "#x"]
     urls = [None, "", "no scheme.org/", "http://", *[f"https://{h}{p}" for h in hosts for p in paths], "a://b://c.org/"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 id", "'x' host", "'y' rule")
     rules = spark.createDataFrame(
         [*urlfilter.RULES, ("block", None, "/"), ("block", "example.org", "/es/"), ("allow", "a.b.example.org", "/es/")],
         "action string, host string, path string",
     )
     listed = [(a, h, p) for a, h, p in [*urlfilter.RULES, ("allow", "a.b.example.org", "/es/")]]
-    for r in urlfilter.judge(pages, rules).collect():
+    rows = urlfilter.judge(pages, rules, part_keys=part_keys).collect()
+    assert sorted(r.id for r in rows) == list(range(len(urls)))
+    for r in rows:
         u = urls[r.id] or ""
         rest = u.split("://", 1)[1] if "://" in u else ""
         host = re.match(r"[^/?#]*", rest)[0]
@@ -613,6 +616,10 @@ def test_url_filter(spark):
         assert (r.host, r.path) == (host, path)
         fit = [(len(h + p), len(h), h + p, a) for a, h, p in listed if (host == h or host.endswith("." + h)) and path.startswith(p)]
         assert (r.rule, r.verdict) == (max(fit)[2:] if fit else (None, "allow")), u
+    assert urlfilter.judge(pages.limit(0), rules).count() == 0
+    odd = spark.createDataFrame([(None, "a://org/"), (1, "a://org/"), (1, "a://org/")], "page_id long, url string")
+    assert [r.verdict for r in urlfilter.judge(odd, rules, default="block").collect()] == ["allow"] * 3
+    assert {r.verdict for r in urlfilter.judge(odd, rules.limit(0), default="block").collect()} == {"block"}
 
 
 def test_cascade_is_exact(spark):
