@@ -11,7 +11,7 @@ thousands.  No document is cut, dropped or capped: one longer than the budget is
 
 Defined cases: null and empty texts have length 0 and sit in the first bucket; rows repeated are packed
 like any other; null identifiers are packed too; of boundaries with equal padding the fewer buckets win, and equal lengths are
-batched by identifier and row number; very long texts are counted whole; an empty table gives an empty table; other columns, whatever
+batched by a hash of identifier and row number; very long texts are counted whole; an empty table gives an empty table; other columns, whatever
 their names, are not read.
 """
 

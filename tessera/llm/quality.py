@@ -4,7 +4,8 @@ A document has a grade: 0 for toxic, 1 for low quality, 2 for good.  The model i
 P(grade >= k) = sigmoid(score - threshold[k]) with ordered thresholds and one shared weight vector over hashed text:
 the distinct words of the whole text and the shapes of its tokens (letter case, digits, trailing marks), bucketed
 shares of shapes and of distinct words.  The expected grade is the sum of the tail probabilities; a document is kept if the tail
-probability of the top grade reaches ``keep_at``.
+probability of the top grade reaches ``keep_at``, or the value that CLEAN_SHARE of the sample's top-grade documents reach if
+that is lower, as it is with too few labels to tell grades apart.
 
 Training reads a sample of labelled rows, the first by a hash of the identifier: at most ``sample_rows`` rows, and of these
 as many as hold ``sample_bytes`` of hashed features, which is what the driver gets.  Features are made and measured on the
@@ -31,6 +32,8 @@ from .base import ALNUM_WORDS, mapped, released, staged, table, utf8
 
 BITS = 18
 GRADES = 3
+#: Share of the training sample's top-grade documents that are kept at least.
+CLEAN_SHARE = 0.95
 _SHAPE = bytes(
     97 if 97 <= c <= 122 or c >= 128 else 65 if 65 <= c <= 90 else 48 if 48 <= c <= 57 else c for c in range(256)
 )
@@ -73,8 +76,8 @@ def _shape(token: bytes) -> bytes:
 class Ordinal:
     """Proportional-odds model; weights of features that pass no chi-squared screen stay 0."""
 
-    def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
-        self.weights, self.thresholds = weights.astype(np.float32), thresholds
+    def __init__(self, weights: np.ndarray, thresholds: np.ndarray, clean_at: float = 1.0):
+        self.weights, self.thresholds, self.clean_at = weights.astype(np.float32), thresholds, clean_at
 
     @classmethod
     def fit(
@@ -122,7 +125,14 @@ class Ordinal:
             weights += rate * (m_w / a) / (np.sqrt(v_w / b) + 1e-8) * ok
             cut = cut + rate * (m_c / a) / (np.sqrt(v_c / b) + 1e-8)
             cut[1] = max(cut[1], cut[0] + 1e-3)  # thresholds stay in order
-        return cls(weights, cut)
+        model = cls(weights, cut)
+        good = np.sort(model.tails([r for r, g in zip(rows, grades.tolist(), strict=True) if g == GRADES - 1]).reshape(-1, 2)[:, 1])
+        if len(good):
+            model.clean_at = float(good[int((1 - CLEAN_SHARE) * len(good))])
+        return model
+
+    def keeps(self, p_good: np.ndarray, keep_at: float) -> np.ndarray:
+        return np.round(p_good, 9) >= min(keep_at, round(self.clean_at, 9))
 
     def tails(self, rows: list[np.ndarray]) -> np.ndarray:
         score = np.array([float(self.weights[r].sum()) for r in rows])
@@ -189,7 +199,7 @@ def score(
             p = model.tails([features(t.as_py()) for t in b.column(1)])
             p = np.round(p.reshape(-1, 2), 9)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(p[:, 1] >= keep_at)],
+                [b.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, 1]), pa.array(model.keeps(p[:, 1], keep_at))],
                 names=["id", "expected_grade", "p_usable", "p_good", "kept"],
             )
 
@@ -208,7 +218,7 @@ def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str, keep_at: f
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = model.tails([features(t.as_py()) for t in b.column(at)]).reshape(-1, 2)
-            yield b.filter(pa.array(np.round(p[:, 1], 9) >= keep_at))
+            yield b.filter(pa.array(model.keeps(p[:, 1], keep_at)))
 
     return mapped(docs, run, docs.schema)
 
