@@ -26,7 +26,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import lower_az, staged, table
+from .base import bound, lower_az, staged, table
 
 RULES = [
     ("allow", "org", "/"),
@@ -179,8 +179,12 @@ def judge(
         of = {a: Cascade(listed.where(F.col("action") == a).select("key"), own) for a in ("allow", "block")}
         mine = F.filter("__keys", lambda k: part_of(k["key"]) == part) if parts > 1 else F.col("__keys")
         first = F.get(F.filter(mine, lambda k: of["allow"].has(k["key"]) | of["block"].has(k["key"])), F.lit(0))
-        fields = [first[c].alias(c) for c in ("size", "host_size", "key", "rule")]
-        return F.when(first.isNotNull(), F.struct(*fields, of["allow"].has(first["key"]).alias("allowed")))
+
+        def told(x: Column) -> Column:
+            fields = [x[c].alias(c) for c in ("size", "host_size", "key", "rule")]
+            return F.when(x.isNotNull(), F.struct(*fields, of["allow"].has(x["key"]).alias("allowed")))
+
+        return bound(first, told)
 
     if parts == 1:
         rows = rows.withColumn("__hit", hit(0))
