@@ -163,17 +163,22 @@ def capped(all_keys: DataFrame, most: int) -> DataFrame:
     return all_keys.join(small, by, "left_semi")
 
 
-def candidates(
-    s1_keys: DataFrame, oth_keys: DataFrame, max_block: int = 60, max_s1_block: int = 200, topk: int = 60
-) -> DataFrame:
-    """(s1_id, oth_id, country, w): the topk pairs of each S1 record by the weight of shared keys; ties by oth_id."""
+def ranked_pairs(s1_keys: DataFrame, oth_keys: DataFrame, max_block: int = 60, max_s1_block: int = 200) -> DataFrame:
+    """(s1_id, oth_id, country, w, k): all pairs that share an admissible key, k their rank in the S1's list; ties by oth_id."""
     by = ["country", "type", "key"]
     k2 = capped(oth_keys, max_block).select(*by, F.col("entity_id").alias("oth_id"), "w").dropDuplicates([*by, "oth_id"])
     k1 = capped(s1_keys, max_s1_block).select(*by, F.col("entity_id").alias("s1_id"))
     pairs = k1.join(k2, by).select("s1_id", "oth_id", "country", "w").repartition("s1_id")
     pairs = pairs.groupBy("s1_id", "oth_id", "country").agg(F.sum("w").cast("long").alias("w"))
     best = Window.partitionBy("s1_id").orderBy(F.desc("w"), "oth_id")
-    return pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= topk).drop("k")
+    return pairs.withColumn("k", F.row_number().over(best))
+
+
+def candidates(
+    s1_keys: DataFrame, oth_keys: DataFrame, max_block: int = 60, max_s1_block: int = 200, topk: int = 60
+) -> DataFrame:
+    """(s1_id, oth_id, country, w): the topk pairs of each S1 record by the weight of shared keys; ties by oth_id."""
+    return ranked_pairs(s1_keys, oth_keys, max_block, max_s1_block).where(F.col("k") <= topk).drop("k")
 
 
 def extra_candidates(

@@ -13,7 +13,6 @@ NATIVE = (
     "ncontain akey_jac wcount_d a1_empty both_empty hnum_edit hnum_logdiff nspan_jac sk_eq"
 ).split()
 IDF = "n_idf_cos n_idf_max a_idf_cos a_idf_max".split()
-ARROW = "nr nsort nset npart njw ncomp ar asort aset apart sk_r sk_set sk_part ajw".split()
 #: The 36 base features, in the order that models expect, and the six that extend them.
 F1 = (
     "nr nsort nset npart njw nlev ncore_eq ncore_jac nlen_d nfirst_eq ncomp ar asort aset apart ajac anum_jac anum_eq a2_empty "
@@ -41,12 +40,38 @@ def parts(records: DataFrame) -> DataFrame:
     )
 
 
-def paired(pairs: DataFrame, s1: DataFrame, oth: DataFrame) -> DataFrame:
-    """pairs (s1_id, oth_id, w) with both records' pieces as columns c1, c2, ..."""
-    a, b = parts(s1), parts(oth)
-    a = a.select(F.col("entity_id").alias("s1_id"), *[F.col(c).alias(f"{c}1") for c in a.columns if c not in ("entity_id", "country")])
-    b = b.select(F.col("entity_id").alias("oth_id"), *[F.col(c).alias(f"{c}2") for c in b.columns if c not in ("entity_id", "country")])
-    return pairs.join(a, "s1_id").join(b, "oth_id")
+def weighted(records: DataFrame, idf: DataFrame) -> DataFrame:
+    """(entity_id, nw, aw, nn, an, mx): the weights of a record's distinct name and address words and their sums of squares.
+
+    Words meet weights by (country, field, token), once per record and not per pair; words of fewer than three records have
+    the country's default weight.
+    """
+    words = F.concat(
+        F.transform(F.array_distinct("fcore"), lambda t: F.struct(F.lit("n").alias("field"), t.alias("token"))),
+        F.transform(F.array_distinct("atoks"), lambda t: F.struct(F.lit("a").alias("field"), t.alias("token"))),
+    )
+    rows = records.select("entity_id", "country", F.explode(words).alias("x")).select("entity_id", "country", "x.field", "x.token")
+    defaults = idf.groupBy("country").agg(F.max("miss").alias("miss"), F.max("mx").alias("mx"))
+    by = ["country", "field", "token"]
+    rows = rows.join(idf.select(*by, "idf"), by, "left").join(defaults, "country", "left")
+    w = F.coalesce("idf", "miss", "mx", F.lit(1.0))
+    return rows.groupBy("entity_id").agg(
+        *[F.collect_list(F.when(F.col("field") == f, F.struct("token", w.alias("w")))).alias(f"{f}w") for f in "na"],
+        *[F.coalesce(F.sum(F.when(F.col("field") == f, w * w)), F.lit(0.0)).alias(f"{f}n") for f in "na"],
+        F.max(F.coalesce("mx", F.lit(1.0))).alias("mx"),
+    )
+
+
+def paired(pairs: DataFrame, s1: DataFrame, oth: DataFrame, idf: DataFrame | None = None) -> DataFrame:
+    """pairs (s1_id, oth_id, w) with both records' pieces as columns c1, c2, ..., and their words' weights with an IDF table."""
+    out = pairs
+    for records, side, own in ((s1, "1", "s1_id"), (oth, "2", "oth_id")):
+        rows = parts(records)
+        if idf is not None:
+            rows = rows.join(weighted(records, idf), "entity_id", "left")
+        names = [c for c in rows.columns if c not in ("entity_id", "country")]
+        out = out.join(rows.select(F.col("entity_id").alias(own), *[F.col(c).alias(c + side) for c in names]), own)
+    return out
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -105,60 +130,27 @@ def native_features() -> dict[str, Column]:
     }
 
 
-def arrow_features() -> dict[str, Column]:
-    def gated(f, a: str, b: str) -> Column:
-        return F.when((F.col("aclean1") != "") & (F.col("aclean2") != ""), f(a, b)).otherwise(0.0)
-
-    n, a, k, j = ("nclean1", "nclean2"), ("aclean1", "aclean2"), ("nskel1", "nskel2"), ("j1", "j2")
-    return {
-        "nr": S.ratio_udf(*n), "nsort": S.token_sort_udf(*n), "nset": S.token_set_udf(*n), "npart": S.partial_udf(*n),
-        "njw": S.jaro_winkler_udf(*j), "ncomp": S.token_set_udf(*j),
-        "ar": gated(S.ratio_udf, *a), "asort": gated(S.token_sort_udf, *a), "aset": gated(S.token_set_udf, *a),
-        "apart": gated(S.partial_udf, *a), "ajw": gated(S.jaro_winkler_udf, *a),
-        "sk_r": S.ratio_udf(*k), "sk_set": S.token_set_udf(*k), "sk_part": S.partial_udf(*k),
-    }
-
-
-def idf_features(pairs: DataFrame, idf: DataFrame) -> DataFrame:
-    """pairs plus IDF-weighted cosine and largest shared weight of name and address words.
-
-    Weights meet the pairs as one map per (country, field); words of fewer than three records have the default weight.
-    """
-    tables = idf.groupBy("country").agg(
-        *[
-            F.map_from_entries(F.collect_list(F.when(F.col("field") == f, F.struct("token", "idf")))).alias(f"__{f}")
-            for f in "na"
-        ],
-        F.max("miss").alias("__miss"),
-        F.max("mx").alias("__mx"),
-    )
-    out = pairs.join(tables, "country", "left")
-
-    def weights(words: Column, table: Column) -> Column:
-        return F.transform(
-            F.array_distinct(words), lambda t: F.coalesce(F.try_element_at(table, t), F.col("__miss"), F.col("__mx"), F.lit(1.0))
-        )
-
-    def squares(words: Column, table: Column) -> Column:
-        return F.aggregate(weights(words, table), F.lit(0.0), lambda s, v: s + v * v)
-
+def idf_features(rows: DataFrame) -> DataFrame:
+    """paired rows plus IDF-weighted cosine and largest shared weight of name and address words."""
     new = {}
-    for field, x, y in (("n", "c1", "c2"), ("a", "t1", "t2")):
-        table, shared = F.col(f"__{field}"), F.array_intersect(x, y)
+    for field, words, many in (("n", "nw1", "c2"), ("a", "aw1", "t2")):
+        shared = F.transform(F.filter(words, lambda x: F.array_contains(F.col(many), x["token"])), lambda x: x["w"])
         some = F.size(shared) > 0
         if field == "a":
             some &= (F.col("aclean1") != "") & (F.col("aclean2") != "")
-        den = F.sqrt(squares(F.col(x), table) * squares(F.col(y), table))
-        new[f"{field}_idf_cos"] = F.when(some & (den > 0), squares(shared, table) / den).otherwise(0.0)
-        new[f"{field}_idf_max"] = F.when(some, F.array_max(weights(shared, table)) / F.coalesce("__mx", F.lit(1.0))).otherwise(0.0)
-    return out.withColumns(new).drop("__n", "__a", "__miss", "__mx")
+        den = F.sqrt(F.col(f"{field}n1") * F.col(f"{field}n2"))
+        top = F.aggregate(shared, F.lit(0.0), lambda s, v: s + v * v)
+        new[f"{field}_idf_cos"] = F.when(some & (den > 0), top / den).otherwise(0.0)
+        new[f"{field}_idf_max"] = F.when(some, F.array_max(shared) / F.coalesce("mx1", F.lit(1.0))).otherwise(0.0)
+    return rows.withColumns(new).drop(*[c + side for c in ("nw", "aw", "nn", "an", "mx") for side in "12"])
 
 
 def pair_features(pairs: DataFrame, s1: DataFrame, oth: DataFrame, idf: DataFrame | None = None) -> DataFrame:
     """(s1_id, oth_id, country, features...): 36 columns, or 42 with an IDF table."""
-    rows = paired(pairs.withColumn("__w", F.col("w")).drop("w").withColumnRenamed("__w", "w"), s1, oth)
-    names = F1
+    rows, names = paired(pairs, s1, oth, idf), F1
     if idf is not None:
-        rows, names = idf_features(rows, idf), F1_V3
-    values = native_features() | arrow_features()
+        rows, names = idf_features(rows), F1_V3
+    values = native_features()
+    rows = rows.withColumn("__similar", S.similarities_udf("nclean1", "nclean2", "j1", "j2", "aclean1", "aclean2", "nskel1", "nskel2"))
+    values |= {k: F.col(f"__similar.{k}") for k in S.NAMES}
     return rows.select("s1_id", "oth_id", "country", *[values[n].alias(n) if n in values else F.col(n) for n in names])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.splits import in_sample, sample_hash
+from tessera.sources import files
 
 
 def rival_sample(cand: DataFrame, truth: DataFrame, true_pairs: DataFrame, fraction: float) -> dict[str, DataFrame]:
@@ -36,9 +37,10 @@ def shrink_counts(cand: DataFrame, fractions: list[float]) -> DataFrame:
     return one.select(F.explode(pairs).alias("x")).select("x.fraction", "x.n")
 
 
-def pick_fraction(counts: DataFrame, max_rows: int, smallest: float = 0.01) -> float:
-    r = counts.agg(F.max(F.when(F.col("n") <= max_rows, F.col("fraction"))).alias("f")).first()
-    return r.f if r.f is not None else smallest
+def picked(counts: DataFrame, max_rows: int, smallest: float = 0.01) -> DataFrame:
+    """(fraction): the largest one with at most max_rows rows, or the smallest."""
+    best = F.max(F.when(F.col("n") <= max_rows, F.col("fraction")))
+    return counts.agg(F.coalesce(best, F.lit(smallest)).alias("fraction"))
 
 
 def shrink(cand: DataFrame, fraction: float) -> DataFrame:
@@ -47,5 +49,53 @@ def shrink(cand: DataFrame, fraction: float) -> DataFrame:
     return cand.join(kept.select("oth_id"), "oth_id", "left_semi")
 
 
+def shrunk(parts: dict[str, DataFrame], true_pairs: DataFrame, fraction: float) -> dict[str, DataFrame]:
+    """A smaller sample cut from a larger one, with the true matches of its S1 put back: as if built directly."""
+    truth = parts["truth"].where(in_sample(F.col("s1_id"), fraction))
+    pairs = shrink(parts["pairs"], fraction)
+    true_o = true_pairs.join(truth, "s1_id", "left_semi").select("oth_id")
+    return {
+        "pairs": pairs,
+        "s1": pairs.select("s1_id").union(truth.select("s1_id")).distinct(),
+        "oth": pairs.select("oth_id").union(true_o).distinct(),
+        "truth": truth,
+    }
+
+
+def checks(parts: dict[str, DataFrame], true_pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(check, n): what is wrong with a sample, 0 where nothing is.  kept: the S1 (s1_id) that it was drawn for."""
+
+    def count(name: str, rows: DataFrame) -> DataFrame:
+        return rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
+
+    def repeated(rows: DataFrame, column: str) -> DataFrame:
+        return rows.groupBy(column).agg(F.count("*").alias("c")).where("c > 1")
+
+    true = true_pairs.join(kept.select("s1_id").distinct(), "s1_id", "left_semi")
+    rows = [
+        count("missing_true_matches", true.join(parts["oth"], "oth_id", "left_anti")),
+        count("extra_truth_rows", parts["truth"].select("s1_id").distinct().join(kept, "s1_id", "left_anti")),
+        count("missing_truth_rows", kept.select("s1_id").distinct().join(parts["truth"], "s1_id", "left_anti")),
+        count("repeated_s1", repeated(parts["s1"], "s1_id")),
+        count("repeated_other", repeated(parts["oth"], "oth_id")),
+        count("repeated_truth_rows", repeated(parts["truth"], "s1_id")),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def write_sample(
+    parts: dict[str, DataFrame], s1: DataFrame, oth: DataFrame, truth_lists: DataFrame, path: str
+) -> None:
+    """A sample as files: records of both sides, its truth rows and its recorded pairs."""
+    files.write_table(files.filtered(s1, parts["s1"].withColumnRenamed("s1_id", "entity_id")), f"{path}/s1")
+    files.write_table(files.filtered(oth, parts["oth"].withColumnRenamed("oth_id", "entity_id")), f"{path}/other")
+    own = parts["truth"].select(F.col("s1_id").alias("source1_entity_id")).distinct()
+    files.write_table(truth_lists.join(own, "source1_entity_id", "left_semi"), f"{path}/truth")
+    parts["pairs"].write.mode("overwrite").parquet(f"{path}/pairs")
+
+
 def rivals_per_record(cand: DataFrame) -> DataFrame:
     return cand.groupBy("oth_id").count().agg(F.avg("count").alias("rivals"))

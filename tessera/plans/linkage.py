@@ -15,6 +15,14 @@ from tessera.sources import files
 from tessera.sources.staging import staged
 
 
+#: The grid that training chooses from: dense where balanced scores lie.
+THRS = [round(0.30 + 0.02 * i, 2) for i in range(34)] + [0.98, 0.985, 0.99, 0.993, 0.996, 0.998]
+MARGINS = [round(0.02 * i, 2) for i in range(23)]
+#: The coarser grid of an evaluation.
+EVAL_THRS = [round(0.50 + 0.02 * i, 2) for i in range(25)]
+EVAL_MARGINS = [round(0.03 * i, 2) for i in range(11)]
+
+
 @dataclass(frozen=True)
 class Config:
     max_block: int = 60
@@ -26,6 +34,7 @@ class Config:
     keys_v3_topk: int = 5
     feat_v3: bool = True
     learn_suffix: bool = False
+    cross_source: bool = False
 
     def as_dict(self) -> dict:
         return asdict(self)
@@ -74,6 +83,8 @@ def feature_rows(built: Built, cfg: Config) -> DataFrame:
 
 def second_stage_rows(rows: DataFrame, built: Built, cfg: Config) -> DataFrame:
     out = decode.competition(rows, "p1")
+    if cfg.cross_source:
+        out = models.with_strong_sources(out)
     return models.with_density(out, built.density) if cfg.feat_v3 and built.density is not None else out
 
 
@@ -88,14 +99,36 @@ class Trained:
     report: dict
 
 
+def second_features(cfg: Config) -> list[str]:
+    return models.STAGE2 + (models.DENSITY if cfg.feat_v3 else []) + (["n_sources"] if cfg.cross_source else [])
+
+
+def _has_both(rows: DataFrame) -> bool:
+    return not rows.where("label = 1").isEmpty() and not rows.where("label = 0").isEmpty()
+
+
+def _half_scores(sizes: DataFrame, true: DataFrame, pred: DataFrame) -> dict[str, float]:
+    """Macro F0.5 of the early-stop half, the report half and both, from one aggregate."""
+    rows = metrics.per_entity(sizes, true, pred).withColumn("es", is_early_stop(F.col("s1_id")))
+    r = rows.agg(F.avg(F.when(F.col("es"), F.col("f05"))).alias("es"), F.avg(F.when(~F.col("es"), F.col("f05"))).alias("rep"), F.avg("f05").alias("all"))
+    return {k: float(v) if v is not None else 0.0 for k, v in r.first().asDict().items()}
+
+
 def train(
-    s1: DataFrame, oth: DataFrame, truth: DataFrame, cfg: Config, fraction: float = 1.0, trees: tuple[int, int] = (40, 30),
-    recorded: DataFrame | None = None, density_source: DataFrame | None = None,
+    s1: DataFrame, oth: DataFrame, truth: DataFrame, cfg: Config, fraction: float = 1.0,
+    trees: tuple[int, int] | None = None, recorded: DataFrame | None = None, density_source: DataFrame | None = None,
+    thr: float | None = None, margin: float | None = None, final: bool = False,
 ) -> Trained:
     """Fit both stages on labelled S1 (out-of-fold p1), choose thr and margin on the early-stop half, compare decoders there.
 
-    Pairs of unlabelled S1 are context: scored, never trained on.
+    The early-stop half of the held-out S1 also ends the trees of both stages; the fold models have as many as the main
+    one.  The report half takes part in no choice.  Pairs of unlabelled S1 are context: scored, never trained on.  With thr and
+    margin given there is no sweep and no expected-F decoder; ``final`` needs them, trains on all labelled S1 and holds nothing out.
+    ``trees`` bounds the trees (by default MOST_TREES); where no held-out rows of both labels end the training, as in final training, it is
+    their number (by default BLIND_TREES).
     """
+    if final and (thr is None or margin is None):
+        raise ValueError("final training needs thr and margin")
     names = features.F1_V3 if cfg.feat_v3 else features.F1
     built = build_candidates(s1, oth, cfg, density_source, recorded)
     true = files.truth_pairs(truth)
@@ -103,33 +136,47 @@ def train(
     rows = feature_rows(built, cfg)
     rows = rows.join(true.withColumn("label", F.lit(1)), ["s1_id", "oth_id"], "left").fillna(0, ["label"])
     rows = rows.join(labelled.withColumn("known", F.lit(True)), "s1_id", "left").fillna(False, ["known"])
-    rows = rows.withColumns({"val": is_validation(F.col("s1_id")), "es": is_early_stop(F.col("s1_id"))})
+    held = F.lit(False) if final else is_validation(F.col("s1_id"))
+    rows = rows.withColumns({"val": held, "es": held & is_early_stop(F.col("s1_id"))})
     rows = staged(rows, "training_rows")
-    fit = rows.where("known and not val")
+    stops = not final and _has_both(rows.where("known and es"))
+    trees = trees or (models.MOST_TREES if stops else models.BLIND_TREES)
+    own = F.col("known") & ~F.col("val")
     if fraction < 1:
-        fit = fit.where(learning_curve(F.col("s1_id"), fraction))
-    stage1 = models.fit_stage1(fit, names, trees=trees[0])
-    own = models.out_of_fold(fit, names, trees=trees[0])
+        own = own & learning_curve(F.col("s1_id"), fraction)
+    fit = rows.where(own)
+
+    def fitted(fit_stage, table: DataFrame, columns: list[str], most: int) -> PipelineModel:
+        if not stops:
+            return fit_stage(table.where(own), columns, trees=most)
+        return fit_stage(table.where(own | (F.col("known") & F.col("es"))), columns, trees=most, validation="es")
+
+    stage1 = fitted(models.fit_stage1, rows, names, trees[0])
+    folds = models.out_of_fold(fit, names, trees=models.n_trees(stage1))
     rest = models.scored(stage1, rows.join(fit.select("s1_id").distinct(), "s1_id", "left_anti"), "p1")
-    both = staged(second_stage_rows(own.unionByName(rest), built, cfg), "second_stage_rows")
-    second = models.STAGE2 + (models.DENSITY if cfg.feat_v3 else [])
-    stage2 = models.fit_stage2(both.where("known and not val"), second, trees=trees[1])
+    both = staged(second_stage_rows(folds.unionByName(rest), built, cfg), "second_stage_rows")
+    stage2 = fitted(models.fit_stage2, both, second_features(cfg), trees[1])
+    report = {"trees": [models.n_trees(stage1), models.n_trees(stage2)], "final": final}
+    if final:
+        return Trained(stage1, stage2, cfg, thr, margin, None, report)
     best = staged(decode.best_per_record(models.scored(stage2, both, "p"), "p"), "assigned")
-    sizes = metrics.truth_sizes(labelled, true)
-    es = sizes.where(is_validation(F.col("s1_id")) & is_early_stop(F.col("s1_id")))
-    thrs, margins = [0.5 + 0.0125 * i for i in range(40)], [0.02 * i for i in range(23)]
-    thr, margin, es_thr = decode.best_of_sweep(decode.sweep(best, es, true, thrs, margins))
+    sizes = metrics.truth_sizes(labelled, true).where(is_validation(F.col("s1_id")))
+    es = sizes.where(is_early_stop(F.col("s1_id")))
+    fixed = thr is not None and margin is not None
+    if not fixed:
+        thr, margin, _ = decode.best_of_sweep(decode.sweep(best, es, true, THRS, MARGINS))
+    scores = _half_scores(sizes, true, decode.decode_threshold(best, thr, margin))
+    report |= {"thr": thr, "margin": margin} | {f"{k}_threshold": v for k, v in scores.items()}
+    decoder = None
     mine = best.join(es.select("s1_id"), "s1_id", "left_semi").join(true.withColumn("label", F.lit(1)), ["s1_id", "oth_id"], "left")
     mine = mine.fillna(0, ["label"])
-    found = mine.groupBy("s1_id").agg(F.sum("label").alias("n_found"))
-    decoder, es_ef = None, -1.0
-    if not mine.isEmpty():
+    if not fixed and not mine.isEmpty():
+        found = mine.groupBy("s1_id").agg(F.sum("label").alias("n_found"))
         decoder = models.fit_expected_f(mine, es.join(found, "s1_id", "left").fillna(0, ["n_found"]))
-        pred = decode.decode_expected_f(mine, decoder)
-        es_ef = metrics.macro_f05(metrics.per_entity(es, true, pred)).first().f05
-    if es_ef <= es_thr:  # the expected-F decoder is used only if it is strictly better
-        decoder = None
-    report = {"es_threshold": es_thr, "es_expected_f": es_ef, "thr": thr, "margin": margin}
+        other = _half_scores(sizes, true, decode.decode_expected_f(best, decoder))
+        report |= {f"{k}_expected_f": v for k, v in other.items()}
+        if other["es"] <= scores["es"]:  # the expected-F decoder is used only if it is strictly better
+            decoder = None
     return Trained(stage1, stage2, cfg, thr, margin, decoder, report)
 
 
@@ -154,9 +201,43 @@ def predict(
         "scores": rows.select("s1_id", "oth_id", "country", "p"),
         "matching": files.list_rows(s1, kept),
         "candidates": files.list_rows(s1, built.pairs, "candidate_entity_ids"),
+        "summary": metrics.run_summary(s1, kept),
     }
 
 
+def evaluate(
+    s1: DataFrame, oth: DataFrame, truth: DataFrame, model: Trained, excluded: DataFrame | None = None, val_split: bool = False,
+    cache: str | None = None,
+) -> dict:
+    """Score a model on labelled records: tables by country, of losses, and the best point of a grid (diagnosis only).
+
+    Only S1 with a truth row count, without the excluded ones (s1_id).  ``cache``: a folder for the scores, the entities and the
+    summary.
+    """
+    spark = s1.sparkSession
+    built, rows = score(s1, oth, model)
+    best = staged(decode.best_per_record(rows, "p"), "assigned")
+    true = files.truth_pairs(truth)
+    labelled = truth.select(F.col("source1_entity_id").alias("s1_id")).distinct()
+    entities = metrics.per_entity(labelled, true, decode.decode_threshold(best, model.thr, model.margin), built.pairs)
+    entities = metrics.scored_entities(entities, excluded, val_split)
+    entities = staged(entities.join(s1.select(F.col("entity_id").alias("s1_id"), "country"), "s1_id"), "scored_entities")
+    base = metrics.macro_f05(entities).first().f05
+    thr, margin, f05 = decode.best_of_sweep(decode.sweep(best, entities, true, EVAL_THRS, EVAL_MARGINS))
+    if f05 <= base:
+        thr, margin, f05 = model.thr, model.margin, base
+    summary = {
+        "cfg": model.cfg.as_dict(), "thr": model.thr, "margin": model.margin, "f05_at_config": base,
+        "best_f05": f05, "best_thr": thr, "best_margin": margin,
+        "countries": [r.country for r in files.countries(s1).collect()],
+    }
+    if cache:
+        files.write_scores(rows.select("s1_id", "oth_id", "country", "p1", "p"), f"{cache}/scores")
+        entities.write.mode("overwrite").parquet(f"{cache}/entities")
+        files.save_json(spark, summary, f"{cache}/summary")
+    return {"summary": summary, "by_country": metrics.evaluation(entities), "losses": metrics.loss_breakdown(entities)}
+
+
 def save(model: Trained, path: str) -> None:
     spark = SparkSession.active()
     model.stage1.write().overwrite().save(f"{path}/stage1")

@@ -34,11 +34,17 @@ def delete_at_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(p)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes with the driver."""
+    path = f"{scratch_dir(spark)}/tessera/{re.sub(r'[^a-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
+    delete_at_exit(spark, path)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tessera/{re.sub(r'[^a-z0-9_]', '_', name)}-{uuid.uuid4().hex}"
-    delete_at_exit(spark, path)
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path

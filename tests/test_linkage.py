@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera import queries
 from tessera.functions import similarity as S
 from tessera.functions import text as T
-from tessera.operators import blocking, decode, features, learn, metrics, sample
+from tessera.operators import blocking, decode, features, learn, metrics, models, sample
 from tessera.operators.normalise import normalise
 from tessera.plans import linkage
 from tessera.sources import files
@@ -273,7 +273,7 @@ def test_queries_against_sql(spark):
         assert key(got) == key(want) and len(got)
 
 
-def test_train_save_load_predict(spark, tmp_path):
+def labelled_records(spark):
     words = ["amber", "birch", "cobalt", "dahlia", "ember", "fjord", "garnet", "harbor", "indigo", "juniper"]
     rows, truth = [], []
     for i in range(60):
@@ -287,9 +287,15 @@ def test_train_save_load_predict(spark, tmp_path):
     r = spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string")
     t = spark.createDataFrame(truth, "source1_entity_id string, matched_entity_ids string")
     r = r.withColumn("source", F.substring("entity_id", 1, 2))
-    s1, oth = r.where("source = 'S1'"), r.where("source <> 'S1'")
-    model = linkage.train(s1, oth, t, linkage.Config(addr_stop_frac=0.1), trees=(3, 3))
-    assert 0 <= model.thr <= 1 and model.report["es_threshold"] > 0.5
+    return r.where("source = 'S1'"), r.where("source <> 'S1'"), t, truth
+
+
+def test_train_save_load_predict(spark, tmp_path):
+    s1, oth, t, truth = labelled_records(spark)
+    cfg = linkage.Config(addr_stop_frac=0.1, cross_source=True)
+    model = linkage.train(s1, oth, t, cfg, trees=(6, 5))
+    assert 0 <= model.thr <= 1 and model.report["es_threshold"] > 0.5 and model.report["rep_threshold"] > 0.5
+    assert 1 <= model.report["trees"][0] <= 6 and 1 <= model.report["trees"][1] <= 5
     linkage.save(model, str(tmp_path / "model"))
     again = linkage.load(spark, str(tmp_path / "model"))
     assert (again.cfg, again.thr, again.margin, again.decoder) == (model.cfg, model.thr, model.margin, model.decoder)
@@ -299,3 +305,180 @@ def test_train_save_load_predict(spark, tmp_path):
     assert sum(got[a] == b for a, b in truth) >= 54
     cand = {x.source1_entity_id: x.candidate_entity_ids for x in out["candidates"].collect()}
     assert all(set(filter(None, got[k].split(","))) <= set(cand[k].split(",")) for k in got)
+    summary = {r.country: (r.n_s1, r.n_matched + r.n_empty) for r in out["summary"].collect()}
+    assert summary == {"US": (60, 60), "Nowhere": (1, 1)}
+
+    some = s1.where("entity_id < 'S1-2'").select(F.col("entity_id").alias("s1_id"))
+    e = linkage.evaluate(s1, oth, t, again, excluded=some, cache=str(tmp_path / "cache"))
+    parts = {r.part: r.n for r in e["by_country"].collect()}
+    assert parts == {"US": 60 - some.count(), "ALL": 60 - some.count()}  # S1-lonely has no truth row
+    assert e["summary"]["best_f05"] >= e["summary"]["f05_at_config"] > 0.8
+    assert files.load_json(spark, str(tmp_path / "cache/summary")) == e["summary"]
+    assert spark.read.parquet(str(tmp_path / "cache/scores")).count() > 60
+    names = features.F1_V3
+    top = models.importance(model.stage1, names)
+    assert sorted(n for n, _ in top) == sorted(names) and abs(sum(v for _, v in top) - 1) < 1e-6
+
+
+def test_final_training(spark):
+    s1, oth, t, truth = labelled_records(spark)
+    cfg = linkage.Config(addr_stop_frac=0.1, feat_v3=False)
+    with pytest.raises(ValueError):
+        linkage.train(s1, oth, t, cfg, final=True)
+    model = linkage.train(s1, oth, t, cfg, trees=(3, 2), thr=0.5, margin=0.0, final=True)
+    assert model.report["trees"] == [3, 2] and model.decoder is None
+    got = {x.source1_entity_id: x.matched_entity_ids for x in linkage.predict(s1, oth, model)["matching"].collect()}
+    assert sum(got[a] == b for a, b in truth) >= 54
+
+
+def test_other_models(spark):
+    r = random.Random(3)
+    rows = [(float(x), r.random(), int(x > 0.5 or r.random() < 0.05)) for x in (r.random() for _ in range(300))]
+    df = spark.createDataFrame(rows, "a double, b double, label int").cache()
+    zoo = models.model_zoo(["a", "b"])
+    assert len(zoo) == 8
+    out = df
+    for name in ("logreg", "forest", "mlp"):
+        out = models.scored(zoo[name].fit(df), out, name).drop("__raw", "__x", "rawPrediction", "probability", "prediction")
+    out = out.withColumn("mix", models.blend(["logreg", "forest", "mlp"])).collect()
+    assert sum((x.mix >= 0.5) == (x.label == 1) for x in out) > 270
+
+
+def test_interpolation(spark):
+    """Few knots in the plan and many by search are the same function."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(float(x),) for x in [*r.random(200), 0.0, 1.0, -1.0, 2.0]], "p double")
+    for n in (1, 2, 3, 8, decode.INLINE_KNOTS, decode.INLINE_KNOTS + 1, 3000):
+        xs, ys = np.sort(r.random(n)), np.sort(r.random(n))
+        got = df.select("p", decode.interpolate(F.col("p"), list(xs), list(ys)).alias("q")).collect()
+        assert all(abs(x.q - np.interp(x.p, xs, ys)) < 1e-12 for x in got)
+
+
+def test_sweep(spark):
+    r = random.Random(6)
+    truth = [(f"s{i}", r.randrange(3), "ab"[i % 2]) for i in range(40)]
+    best = [(f"s{r.randrange(40)}", f"o{i}", round(r.random(), 2), round(r.random() / 2, 2)) for i in range(90)]
+    true = {(s, o) for s, o, _, _ in best if r.random() < 0.5}
+    t = spark.createDataFrame(truth, "s1_id string, n_true long, country string")
+    b = spark.createDataFrame(best, "s1_id string, oth_id string, p double, p_next double")
+    pairs = spark.createDataFrame(sorted(true), "s1_id string, oth_id string")
+    thrs, margins = [0.2, 0.5, 0.9], [0.0, 0.1]
+
+    def score(thr, margin, part=None):
+        total, n = 0.0, 0
+        for s, k, c in truth:
+            if part in (None, c):
+                kept = [(x[0], x[1]) for x in best if x[0] == s and x[2] >= thr and x[2] - x[3] >= margin]
+                tp = sum(x in true for x in kept)
+                p, q = tp / max(len(kept), 1), tp / max(k, 1)
+                total += 1.0 if not kept and not k else 0.0 if not tp else 1.25 * p * q / (0.25 * p + q)
+                n += 1
+        return total / n
+
+    got = {(x.thr, x.margin): x.f05 for x in decode.sweep(b, t, pairs, thrs, margins).collect()}
+    assert len(got) == 6 and all(abs(v - score(*k)) < 1e-9 for k, v in got.items())
+    by = {(x.country, x.thr, x.margin): x.f05 for x in decode.sweep(b, t, pairs, thrs, margins, "country").collect()}
+    assert len(by) == 12 and all(abs(v - score(y, z, x)) < 1e-9 for (x, y, z), v in by.items())
+    assert decode.best_of_sweep(decode.sweep(b, t.limit(0), pairs, thrs, margins)) == (0.5, 0.0, 0.0)
+
+
+def test_shrunk_sample_is_as_built_directly(spark):
+    r = random.Random(15)
+    rows = [(f"S1-{r.randrange(300)}", f"S2-{r.randrange(200)}", "X", 1) for _ in range(1500)]
+    cand = spark.createDataFrame(rows, "s1_id string, oth_id string, country string, w long").distinct().persist()
+    truth = spark.createDataFrame([(f"S1-{i}",) for i in range(300)], "s1_id string")
+    true = spark.createDataFrame([(f"S1-{i}", f"S2-{i % 250}") for i in range(0, 300, 2)], "s1_id string, oth_id string")
+    wide, direct = (sample.rival_sample(cand, truth, true, f) for f in (0.4, 0.1))
+    small = sample.shrunk(wide, true, 0.1)
+    for part in ("pairs", "s1", "oth", "truth"):
+        assert sorted(map(tuple, small[part].collect())) == sorted(map(tuple, direct[part].collect()))
+    kept = direct["truth"]
+    assert all(x.n == 0 for x in sample.checks(direct, true, kept).collect())
+    direct["oth"] = direct["pairs"].select("oth_id").distinct().limit(1)
+    assert {x["check"]: x.n > 0 for x in sample.checks(direct, true, kept).collect()}["missing_true_matches"]
+
+
+def test_stream(spark, sides, tmp_path):
+    """New records as a stream find the candidates that a batch finds by the same keys."""
+    from tessera.streaming import incremental
+
+    s1, oth = sides
+    keys = blocking.keys(normalise(s1, True)).persist()
+    oth.write.parquet(str(tmp_path / "in"))
+    found = []
+    stream = spark.readStream.schema(oth.schema).parquet(str(tmp_path / "in"))
+    query = incremental.candidate_stream(stream, keys).writeStream.foreachBatch(
+        lambda batch, _: found.extend(map(tuple, incremental.best_in_batch(batch).select("s1_id", "oth_id").collect()))
+    )
+    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    batch = blocking.candidates(keys, blocking.keys(normalise(oth, True)))
+    assert sorted(found) == sorted((r.s1_id, r.oth_id) for r in batch.collect()) and ("S1-1", "S2-1") in found
+
+
+def test_command_line(spark, sides, tmp_path, monkeypatch):
+    """Files in, samples, a trained model, predictions and checks out."""
+    from tessera.__main__ import main
+
+    s1, oth, t, _ = labelled_records(spark)
+    d = tmp_path / "data"
+    d.mkdir()
+
+    def tsv(name, rows, columns):
+        lines = ["\t".join(columns), *("\t".join(r[c] for c in columns) for r in rows.collect())]
+        (d / name).write_text("\n".join(lines) + "\n")
+
+    for prefix in ("train", "test"):
+        tsv(f"{prefix}_source1.tsv", s1, files.RECORD)
+        tsv(f"{prefix}_source2.tsv", oth, files.RECORD)
+        tsv(f"{prefix}_source3.tsv", oth.limit(0), files.RECORD)
+    tsv("train_ground_truth.tsv", t, files.LISTS)
+    out = str(tmp_path / "out")
+    assert main(["sample", "--data", str(d), "--out", f"{out}/sample", "--frac", "0.9"]) == 0
+    assert main(["shrink", "--src", f"{out}/sample", "--out", f"{out}/small", "--frac", "0.5"]) == 0
+    assert 0 < len(files.read_tsv(spark, f"{out}/small/s1", files.RECORD).collect()) < 61
+    monkeypatch.setattr(models, "BLIND_TREES", (3, 2))
+    assert main(["train", "--data", str(d), "--models", f"{out}/m", "--keys-v2", "--thr", "0.5", "--margin", "0", "--final"]) == 0
+    assert main(["predict", "--data", str(d), "--models", f"{out}/m", "--out", out]) == 0
+    check = ["validate", "-m", f"{out}/matching_results.tsv", "-c", f"{out}/candidate_pairs.tsv", "-t", str(d), "--check-ids"]
+    assert main(check) == 0
+    assert main(["evaluate", "--data", str(d), "--models", f"{out}/m", "--countries", "US"]) == 0
+    assert main(["audit", "--data", str(d), "--out", out]) == 0
+    assert {r.metric for r in files.read_tsv(spark, f"{out}/blocking_audit_summary", ["metric", "value"]).collect()} > {"blocking_recall", "failure_E_count"}
+    bad = tmp_path / "bad.tsv"
+    for text, rule in (("", "empty_file"), ("a,b\n", "comma_header"), ("a\tb\n", "wrong_header")):
+        bad.write_text(text)
+        assert metrics.list_file(spark, str(bad), files.LISTS)[1][0][0] == rule
+    assert metrics.list_file(spark, str(tmp_path / "none"), files.LISTS)[1][0][0] == "missing_file"
+    bad.write_text("Source1_entity_id\t matched_entity_ids\nS1-1\tS2-1\nS1-2\n\n")
+    rows, wrong = metrics.list_file(spark, str(bad), files.LISTS)
+    assert wrong == [("row_without_tab", "1 times")] and [tuple(r) for r in rows.collect()] == [("S1-1", "S2-1")]
+    check[2] = str(bad)
+    assert main(check) == 1
+
+
+def test_scan_of_odd_files(spark, tmp_path):
+    """Bad bytes become the replacement sign; the country filter reaches the scan; recorded pairs need both records."""
+    p = tmp_path / "r.tsv"
+    p.write_bytes(b"entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\tA\xffB\t\tUS\nS1-2\t \xc3\xa9 \tx\tFR\n")
+    rows = files.read_records(spark, str(p), "S1").collect()
+    assert [r.business_name for r in rows] == ["A\ufffdB", " é "]
+    one = files.read_country(spark, str(p), "FR")
+    assert [r.entity_id for r in one.collect()] == ["S1-2"]
+    assert "FR" in one._jdf.queryExecution().executedPlan().toString().split("PushedFilters")[1].split("ReadSchema")[0]
+    a = one.select("entity_id")
+    pairs = spark.createDataFrame([("S1-2", "S2-1", 1.0, "FR"), ("S1-9", "S2-1", 1.0, "FR")], "s1_id string, oth_id string, w double, country string")
+    assert files.load_pairs(pairs, a, spark.createDataFrame([("S2-1",)], "entity_id string")).count() == 1
+
+
+def test_more_queries_against_sql(spark):
+    d = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for f in os.listdir(d):
+        c.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{d}/{f}'")
+    for name in ("audit_modes", "extra_candidates", "idf_features", "text_similarities", "sweep_full_grid", "tsv_round_trip", "crc_splits"):
+        got = queries.QUERIES[name](spark, d).toPandas()
+        want = c.execute(queries.SQL[name]).df()[list(got.columns)]
+        key = lambda df: sorted(tuple(map(str, r)) for r in df.round(6).itertuples(index=False))
+        assert key(got) == key(want) and len(got), name
