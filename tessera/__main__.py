@@ -1,5 +1,6 @@
-"""Command line: ``python -m tessera predict|train|evaluate|validate|sample|shrink|audit --help``.
+"""Command line: ``python -m tessera COMMAND --help``.
 
+COMMAND is predict, train, compare, importance, evaluate, validate, sample, bucket-sample, shrink or audit.
 Inputs are tab-separated: {data}/{prefix}_source1.tsv to _source3.tsv, and train_ground_truth.tsv where truth is needed.
 """
 
@@ -13,7 +14,8 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import blocking, metrics, sample
+from tessera.operators import blocking, features, metrics, models, sample
+from tessera.operators.normalise import normalise
 from tessera.plans import linkage
 from tessera.sources import files
 
@@ -46,6 +48,22 @@ def run_train(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def run_compare(spark: SparkSession, a: argparse.Namespace) -> int:
+    cfg = linkage.Config(30, 200, 30, addr_stop_frac=0.0, keys_v2=False, feat_v3=False)
+    for row in linkage.compare(*sides(spark, a.data, "train"), truth_of(spark, a.data), cfg, a.candidates.split(",")):
+        print(json.dumps(row))
+    return 0
+
+
+def run_importance(spark: SparkSession, a: argparse.Namespace) -> int:
+    model = linkage.load(spark, a.models)
+    first = features.F1_V3 if model.cfg.feat_v3 else features.F1
+    for stage, fitted, names in (("stage1", model.stage1, first), ("stage2", model.stage2, linkage.second_features(model.cfg))):
+        for name, share in models.importance(fitted, names):
+            print(f"{stage}\t{name}\t{share:.6f}")
+    return 0
+
+
 def run_predict(spark: SparkSession, a: argparse.Namespace) -> int:
     model = linkage.load(spark, a.models)
     model.cfg = replace(model.cfg, keys_v3=model.cfg.keys_v3 or a.keys_v3, keys_v3_topk=a.keys_v3_topk)
@@ -68,6 +86,8 @@ def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
     print(json.dumps(out["summary"]))
     out["by_country"].orderBy("part").show(1000, False)
     out["losses"].orderBy("category").show(10, False)
+    out["country_points"].orderBy("country").show(1000, False)
+    print(f"f05 with each country's own point: {out['country_score'].first().f05}")
     return 0
 
 
@@ -102,6 +122,14 @@ def run_sample(spark: SparkSession, a: argparse.Namespace) -> int:
     return int(bool(wrong))
 
 
+def run_bucket_sample(spark: SparkSession, a: argparse.Namespace) -> int:
+    s1, oth = sides(spark, a.data, "train")
+    truth = truth_of(spark, a.data)
+    parts = sample.bucket_sample(normalise(s1, False), normalise(oth, False), labelled(truth), files.truth_pairs(truth), a.mod)
+    sample.write_sample(parts, s1, oth, truth, a.out)
+    return 0
+
+
 def run_shrink(spark: SparkSession, a: argparse.Namespace) -> int:
     pairs, truth = spark.read.parquet(f"{a.src}/pairs"), files.read_tsv(spark, f"{a.src}/truth", files.LISTS)
     s1, oth = (files.read_tsv(spark, f"{a.src}/{x}", [*files.RECORD, "source"]) for x in ("s1", "other"))
@@ -157,6 +185,9 @@ def parser() -> argparse.ArgumentParser:
     for flag in ("--keys-v2", "--feat-v3", "--learn-suffix"):
         c.add_argument(flag, action="store_true")
     c.add_argument("--density-src")
+    c = command("compare", run_compare, "data")
+    c.add_argument("--candidates", default=",".join(["current", *models.model_zoo(["x"]), "gbt_mid+logreg"]))
+    command("importance", run_importance, "models")
     c = command("evaluate", run_evaluate, "data", "models")
     more_keys(c)
     c.add_argument("--exclude")
@@ -171,6 +202,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--frac", type=float, default=0.05)
     c.add_argument("--addr-stop-frac", type=float, default=0.01)
     c.add_argument("--keys-v2", action="store_true")
+    command("bucket-sample", run_bucket_sample, "data", "out").add_argument("--mod", type=int, default=20)
     c = command("shrink", run_shrink, "src", "out")
     c.add_argument("--max-rows", type=float, default=33e6)
     c.add_argument("--frac", type=float)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.splits import in_sample, sample_hash
+from tessera.functions.splits import in_sample, name_bucket, sample_hash
 from tessera.sources import files
 
 
@@ -24,6 +24,17 @@ def rival_sample(cand: DataFrame, truth: DataFrame, true_pairs: DataFrame, fract
     }
 
 
+def bucket_sample(s1: DataFrame, oth: DataFrame, truth: DataFrame, true_pairs: DataFrame, mod: int) -> dict[str, DataFrame]:
+    """Normalised records whose name falls into one of ``mod`` buckets: S1, others of the bucket or true matches, truth rows."""
+
+    def of_bucket(records: DataFrame, column: str) -> DataFrame:
+        return records.where(name_bucket(F.col("country"), F.col("core"), mod)).select(F.col("entity_id").alias(column)).distinct()
+
+    kept = of_bucket(s1, "s1_id")
+    true_o = true_pairs.join(kept, "s1_id", "left_semi").select("oth_id")
+    return {"s1": kept, "oth": of_bucket(oth, "oth_id").union(true_o).distinct(), "truth": truth.select("s1_id").join(kept, "s1_id", "left_semi")}
+
+
 def record_hashes(cand: DataFrame) -> DataFrame:
     """(oth_id, h): least sample hash of the S1 records that have a record as candidate."""
     return cand.groupBy("oth_id").agg(F.min(sample_hash(F.col("s1_id"))).alias("h"))
@@ -89,12 +100,13 @@ def checks(parts: dict[str, DataFrame], true_pairs: DataFrame, kept: DataFrame)
 def write_sample(
     parts: dict[str, DataFrame], s1: DataFrame, oth: DataFrame, truth_lists: DataFrame, path: str
 ) -> None:
-    """A sample as files: records of both sides, its truth rows and its recorded pairs."""
+    """A sample as files: records of both sides, its truth rows and, where it has them, its recorded pairs."""
     files.write_table(files.filtered(s1, parts["s1"].withColumnRenamed("s1_id", "entity_id")), f"{path}/s1")
     files.write_table(files.filtered(oth, parts["oth"].withColumnRenamed("oth_id", "entity_id")), f"{path}/other")
     own = parts["truth"].select(F.col("s1_id").alias("source1_entity_id")).distinct()
     files.write_table(truth_lists.join(own, "source1_entity_id", "left_semi"), f"{path}/truth")
-    parts["pairs"].write.mode("overwrite").parquet(f"{path}/pairs")
+    if "pairs" in parts:
+        parts["pairs"].write.mode("overwrite").parquet(f"{path}/pairs")
 
 
 def rivals_per_record(cand: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import asdict, dataclass
 
 from pyspark.ml import PipelineModel
@@ -12,7 +13,7 @@ from tessera.functions.splits import is_early_stop, is_validation, learning_curv
 from tessera.operators import blocking, decode, features, learn, metrics, models
 from tessera.operators.normalise import normalise
 from tessera.sources import files
-from tessera.sources.staging import staged
+from tessera.sources.staging import released, staged
 
 
 #: The grid that training chooses from: dense where balanced scores lie.
@@ -114,6 +115,15 @@ def _half_scores(sizes: DataFrame, true: DataFrame, pred: DataFrame) -> dict[str
     return {k: float(v) if v is not None else 0.0 for k, v in r.first().asDict().items()}
 
 
+def training_rows(built: Built, cfg: Config, true: DataFrame, labelled: DataFrame, final: bool = False) -> DataFrame:
+    """Feature rows with label, known (the S1 has a truth row), val (held out) and es (its early-stop half), staged."""
+    rows = feature_rows(built, cfg)
+    rows = rows.join(true.withColumn("label", F.lit(1)), ["s1_id", "oth_id"], "left").fillna(0, ["label"])
+    rows = rows.join(labelled.withColumn("known", F.lit(True)), "s1_id", "left").fillna(False, ["known"])
+    held = F.lit(False) if final else is_validation(F.col("s1_id"))
+    return staged(rows.withColumns({"val": held, "es": held & is_early_stop(F.col("s1_id"))}), "training_rows")
+
+
 def train(
     s1: DataFrame, oth: DataFrame, truth: DataFrame, cfg: Config, fraction: float = 1.0,
     trees: tuple[int, int] | None = None, recorded: DataFrame | None = None, density_source: DataFrame | None = None,
@@ -133,12 +143,7 @@ def train(
     built = build_candidates(s1, oth, cfg, density_source, recorded)
     true = files.truth_pairs(truth)
     labelled = truth.select(F.col("source1_entity_id").alias("s1_id")).distinct()
-    rows = feature_rows(built, cfg)
-    rows = rows.join(true.withColumn("label", F.lit(1)), ["s1_id", "oth_id"], "left").fillna(0, ["label"])
-    rows = rows.join(labelled.withColumn("known", F.lit(True)), "s1_id", "left").fillna(False, ["known"])
-    held = F.lit(False) if final else is_validation(F.col("s1_id"))
-    rows = rows.withColumns({"val": held, "es": held & is_early_stop(F.col("s1_id"))})
-    rows = staged(rows, "training_rows")
+    rows = training_rows(built, cfg, true, labelled, final)
     stops = not final and _has_both(rows.where("known and es"))
     trees = trees or (models.MOST_TREES if stops else models.BLIND_TREES)
     own = F.col("known") & ~F.col("val")
@@ -180,6 +185,56 @@ def train(
     return Trained(stage1, stage2, cfg, thr, margin, decoder, report)
 
 
+def compare(
+    s1: DataFrame, oth: DataFrame, truth: DataFrame, cfg: Config, names: list[str], trees: int = models.BLIND_TREES[1]
+) -> list[dict]:
+    """Other first-stage models by the F0.5 of the held-out S1, best first; second stage, decoder and split are the same for all.
+
+    names: of ``models.model_zoo``, several joined by + are blended, or ``current`` for the production model.  Each result holds
+    name, f05, thr, margin, and the seconds of the fit on all training rows and in all.
+    """
+    columns = features.F1_V3 if cfg.feat_v3 else features.F1
+    built = build_candidates(s1, oth, cfg)
+    true = files.truth_pairs(truth)
+    labelled = truth.select(F.col("source1_entity_id").alias("s1_id")).distinct()
+    rows = training_rows(built, cfg, true, labelled)
+    own = F.col("known") & ~F.col("val")
+    fit = rows.where(own)
+    rest = rows.join(fit.select("s1_id").distinct(), "s1_id", "left_anti")
+    held = metrics.truth_sizes(labelled, true).where(is_validation(F.col("s1_id")))
+
+    def fitted(name: str, table: DataFrame) -> list[PipelineModel]:
+        if name == "current":
+            return [models.fit_stage1(table, columns, trees=models.BLIND_TREES[0])]
+        return models.fit_other(table, columns, name)
+
+    out = []
+    for name in names:
+        began = time.monotonic()
+        folds = models.out_of_fold(fit, columns, lambda seen, own, name=name: models.scored_by(fitted(name, seen), own, "p1"))
+        start = time.monotonic()
+        stage1 = fitted(name, fit)
+        train_s = time.monotonic() - start
+        both = folds.unionByName(models.scored_by(stage1, rest, "p1"))
+        both = staged(second_stage_rows(both, built, cfg), "compared_rows")
+        stage2 = models.fit_stage2(both.where(own), second_features(cfg), trees=trees)
+        best = staged(decode.best_per_record(models.scored(stage2, both, "p"), "p"), "compared_best")
+        thr, margin, f05 = decode.best_of_sweep(decode.sweep(best, held, true, THRS, MARGINS))
+        released(both, best)
+        out.append({"name": name, "f05": f05, "thr": thr, "margin": margin, "train_s": train_s, "total_s": time.monotonic() - began})
+    return sorted(out, key=lambda r: -r["f05"])
+
+
+def country_points(best: DataFrame, entities: DataFrame, true: DataFrame, thrs: list[float], margins: list[float]) -> tuple[DataFrame, DataFrame]:
+    """Each country's own best point of a grid, and the metric when every country decodes with its own: (points, score).
+
+    entities: scored S1 (s1_id, country, n_true).
+    """
+    points = staged(decode.best_by_part(decode.sweep(best, entities, true, thrs, margins, "country"), "country"), "country_points")
+    kept = decode.decode_by_part(best, points, entities, "country")
+    return points, metrics.macro_f05(metrics.per_entity(entities.select("s1_id"), true.join(entities.select("s1_id"), "s1_id", "left_semi"), kept))
+
+
 def score(s1: DataFrame, oth: DataFrame, model: Trained) -> tuple[Built, DataFrame]:
     built = build_candidates(s1, oth, model.cfg)
     rows = models.scored(model.stage1, feature_rows(built, model.cfg), "p1")
@@ -235,7 +290,11 @@ def evaluate(
         files.write_scores(rows.select("s1_id", "oth_id", "country", "p1", "p"), f"{cache}/scores")
         entities.write.mode("overwrite").parquet(f"{cache}/entities")
         files.save_json(spark, summary, f"{cache}/summary")
-    return {"summary": summary, "by_country": metrics.evaluation(entities), "losses": metrics.loss_breakdown(entities)}
+    points, own = country_points(best, entities, true, EVAL_THRS, EVAL_MARGINS)
+    return {
+        "summary": summary, "by_country": metrics.evaluation(entities), "losses": metrics.loss_breakdown(entities),
+        "country_points": points, "country_score": own,
+    }
 
 
 def save(model: Trained, path: str) -> None:

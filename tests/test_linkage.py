@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import zlib
 
 import duckdb
 import pytest
@@ -335,13 +336,31 @@ def test_other_models(spark):
     r = random.Random(3)
     rows = [(float(x), r.random(), int(x > 0.5 or r.random() < 0.05)) for x in (r.random() for _ in range(300))]
     df = spark.createDataFrame(rows, "a double, b double, label int").cache()
-    zoo = models.model_zoo(["a", "b"])
-    assert len(zoo) == 8
-    out = df
-    for name in ("logreg", "forest", "mlp"):
-        out = models.scored(zoo[name].fit(df), out, name).drop("__raw", "__x", "rawPrediction", "probability", "prediction")
-    out = out.withColumn("mix", models.blend(["logreg", "forest", "mlp"])).collect()
-    assert sum((x.mix >= 0.5) == (x.label == 1) for x in out) > 270
+    assert len(models.model_zoo(["a", "b"])) == 8
+    out = models.scored_by(models.fit_other(df, ["a", "b"], "logreg+gbt_shallow+mlp"), df, "mix")
+    assert out.columns == ["a", "b", "label", "mix"]
+    assert sum((x.mix >= 0.5) == (x.label == 1) for x in out.collect()) > 270
+
+
+def test_compared_models(spark):
+    s1, oth, t, _ = labelled_records(spark)
+    cfg = linkage.Config(addr_stop_frac=0.1, feat_v3=False)
+    rows = linkage.compare(s1, oth, t, cfg, ["logreg", "logreg+mlp"], trees=2)
+    assert {r["name"] for r in rows} == {"logreg", "logreg+mlp"} and rows[0]["f05"] >= rows[1]["f05"] > 0.5
+
+
+def test_bucket_sample(spark):
+    """Buckets share no S1 and cover all of them; true matches come along wherever their own names fall."""
+    s1, oth, t, truth = labelled_records(spark)
+    n1, n2 = normalise(s1, False), normalise(oth, False)
+    true, known = files.truth_pairs(t), t.select(F.col("source1_entity_id").alias("s1_id"))
+    parts = sample.bucket_sample(n1, n2, known, true, 3)
+    kept, others, own = ([r[0] for r in parts[k].collect()] for k in ("s1", "oth", "truth"))
+    cores = {r.entity_id: (r.country, " ".join(sorted(r.core))) for r in n1.unionByName(n2).collect()}
+    hit = {k for k, (c, core) in cores.items() if zlib.crc32(f"{c}|{core}".encode()) % 3 == 0}
+    assert set(kept) == {k for k in hit if k.startswith("S1")} and 0 < len(kept) < 61
+    assert set(others) == {k for k in hit if not k.startswith("S1")} | {b for a, b in truth if a in hit and b}
+    assert sorted(own) == sorted(set(kept) & {a for a, _ in truth})
 
 
 def test_interpolation(spark):
@@ -444,6 +463,9 @@ def test_command_line(spark, sides, tmp_path, monkeypatch):
     check = ["validate", "-m", f"{out}/matching_results.tsv", "-c", f"{out}/candidate_pairs.tsv", "-t", str(d), "--check-ids"]
     assert main(check) == 0
     assert main(["evaluate", "--data", str(d), "--models", f"{out}/m", "--countries", "US"]) == 0
+    assert main(["importance", "--models", f"{out}/m"]) == 0
+    assert main(["bucket-sample", "--data", str(d), "--out", f"{out}/bucket", "--mod", "2"]) == 0
+    assert 0 < len(files.read_tsv(spark, f"{out}/bucket/s1", files.RECORD).collect()) < 61
     assert main(["audit", "--data", str(d), "--out", out]) == 0
     assert {r.metric for r in files.read_tsv(spark, f"{out}/blocking_audit_summary", ["metric", "value"]).collect()} > {"blocking_recall", "failure_E_count"}
     bad = tmp_path / "bad.tsv"
