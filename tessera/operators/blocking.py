@@ -3,7 +3,8 @@
 A key is (type, text) within a country.  Keys whose block is too large on either side are dropped before the join, which
 bounds a block to max_block x max_s1_block pairs; pairs are weighed by the keys they share, and the best
 ``topk`` of each S1 record stay.  The pair weights are summed on (s1, other); as the candidates are then ranked per S1,
-pairs are dealt by s1 once and both steps use that one exchange.
+pairs are dealt by s1 once and both steps use that one exchange.  Sums before that exchange would save little: a pair's keys
+fall into different tasks of the join (of 263,662 hits at sf0.1, dealt to 64 tasks, 252,960 would be left).
 """
 
 from __future__ import annotations
